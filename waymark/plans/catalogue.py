@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from waymark.plans import at_scale
+
+MODULES = (at_scale,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for module in MODULES for name, f in module.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
