@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import cross_split, group_split, leakage, shared_spans, stable_sample
+from waymark.llm import cross_split, group_split, leakage, packing, shared_spans, stable_sample, vector_neighbours
 from waymark.sources.tables import metadata, table, trimmed
 
 #: Shares of images for train, database and query.
@@ -55,6 +55,23 @@ def p4_drives(spark: SparkSession, d: str) -> DataFrame:
     return stable_sample.stable_sample(rows, "sequence_id", target=2_000, base_rate=0.1)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vector_neighbours.neighbour_pairs(vector_neighbours.nearest(table(spark, d, "descriptors"), 5))
+
+
+def p6_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = vector_neighbours.nearest(table(spark, d, "descriptors"), 10)
+    return lists.select(F.col("image_id").alias("query_id"), "indices", F.col("similarities").cast("array<float>").alias("similarities"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -92,5 +109,14 @@ pairs as (
     return {
         "p1_found": overlaps + "select least(t, e) as image_id_a, greatest(t, e) as image_id_b from pairs",
         "p1_report": overlaps + "select split, creator_id, count(*) as n_pairs, count(distinct e) as n_eval, count(distinct t) as n_train from pairs group by all",
+        "p6_found": """with v as (
+            select image_id, max(vec) as vec from descriptors where len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x))) = 0 group by 1),
+          u as (select image_id, vec::double[] as vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) as n from v),
+          w as (select * from u where n > 0),
+          s as (select a.image_id as a, b.image_id as b,
+                  round(list_inner_product(a.vec, b.vec) / (a.n * b.n), 9) as sim
+                from w a join w b on a.image_id <> b.image_id),
+          t as (select a, b from s qualify row_number() over (partition by a order by sim desc, b) <= 5)
+          select distinct least(a, b) as image_id_a, greatest(a, b) as image_id_b from t""",
         "p2_found": f"with {IMAGES_SQL} select sequence_id from m where sequence_id is not null group by 1 having count(distinct split) > 1",
     }
