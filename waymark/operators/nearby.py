@@ -49,19 +49,19 @@ def _column(lon: Column, level: Column) -> Column:
     return F.floor((lon + 180.0) / 360.0 * F.pow(F.lit(2.0), level))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, id_col: str = "image_id") -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, id_col: str = "image_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a ``left`` and a ``right`` point at most ``radius_m`` apart (inclusive).
 
-    Both have ``<id_col>, lat, lon``. Returns ``left_id, right_id, d_m``. Rows without a
-    usable position are in no pair; rows at one place pair at distance 0; repeated ids
+    Both have ``<id_col>, lat, lon``. Returns ``left_id, right_id, d_m`` and the columns
+    ``carry`` of both sides with the prefixes ``left_`` and ``right_``. Rows without a usable position are in no pair; rows at one place pair at distance 0; repeated ids
     give repeated pairs; other columns are ignored.
     """
     if not 0 < radius_m < 1_000_000:
         raise ValueError("radius_m must lie between 0 and 1,000 km")
     reach = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9) + 1e-12
     height = 2 * reach
-    a = left.where(usable_position()).select(F.col(id_col).alias("left_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = right.where(usable_position()).select(F.col(id_col).alias("right_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    a = left.where(usable_position()).select(F.col(id_col).alias("left_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *[F.col(c).alias(f"left_{c}") for c in carry])
+    b = right.where(usable_position()).select(F.col(id_col).alias("right_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), *[F.col(c).alias(f"right_{c}") for c in carry])
     row = _row(F.col("b_lat"), height)
     level = _columns(row, height)
     b = b.withColumn("node", _node(row, _column(F.col("b_lon"), level), level))
@@ -75,7 +75,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, id_col: str =
     west = _column(F.col("a_lon") - F.col("half"), F.col("level"))
     east = F.least(_column(F.col("a_lon") + F.col("half"), F.col("level")), west + cells - 1)
     a = a.withColumn("column", F.explode(F.sequence(west, east)))
-    a = a.select("left_id", "a_lat", "a_lon", "half", _node(F.col("row"), F.col("column"), F.col("level")).alias("node"))
+    a = a.select("left_id", "a_lat", "a_lon", "half", *[f"left_{c}" for c in carry], _node(F.col("row"), F.col("column"), F.col("level")).alias("node"))
 
     # The two triangles of the box share the diagonal u = v; |u|, |v| <= 1 inside.
     u = (F.pmod(F.col("b_lon") - F.col("a_lon") + 180.0, F.lit(360.0)) - 180.0) / F.col("half")
@@ -83,7 +83,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, id_col: str =
     lower = (v >= -1.0) & (u <= 1.0) & (v <= u)
     upper = (u >= -1.0) & (v <= 1.0) & (v >= u)
     met = a.join(b, "node").where(lower | upper).withColumn("d_m", haversine("a_lat", "a_lon", "b_lat", "b_lon"))
-    return met.where(F.col("d_m") <= radius_m).select("left_id", "right_id", "d_m")
+    return met.where(F.col("d_m") <= radius_m).select("left_id", "right_id", "d_m", *[f"{side}_{c}" for c in carry for side in ("left", "right")])
 
 
 Point = tuple[float, float]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import nearby, skew
+from waymark.sources.staging import stage
 from waymark.sources.tables import metadata, table
 
 #: The newest metadata row of each image with cleaned columns, in DuckDB.
@@ -26,7 +27,8 @@ def _tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(metadata(spark, d, "sequence_id"), "sequence_id", 0.02).select("sequence_id")
+    rows = stage(metadata(spark, d, "sequence_id"), "sequences")
+    return skew.heavy_keys(rows, "sequence_id", 0.02).select("sequence_id")
 
 
 def p3_frames(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import at_scale
+from waymark.plans import at_scale, auditing, retrieval
 
-MODULES = (at_scale,)
+MODULES = (retrieval, auditing, at_scale)
 
 
 def queries() -> dict:
