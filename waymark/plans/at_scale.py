@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import nearby, skew
+from waymark.plans.analyses import DISTRICT_SQL
 from waymark.sources.staging import stage
 from waymark.sources.tables import metadata, table
-
-#: The newest metadata row of each image with cleaned columns, in DuckDB.
-IMAGES_SQL = r"""m as (
-  select image_id, trim(sequence_id, E' \t\n\r\x0b\x0c') as sequence_id, captured_at, lat, lon, compass_angle, is_pano,
-         creator_id, nullif(lower(trim(split, E' \t\n\r\x0b\x0c')), '') as split,
-         coalesce(lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0), false) as placed
-  from (select *, row_number() over (partition by image_id order by ingested_at desc) as rn from metadata) where rn = 1)"""
-
-
-def metres_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"2 * 6371000.0 * asin(least(1.0, sqrt({h})))"
-
+from waymark.sources.views import IMAGES_SQL, metres_sql
 
 def _tracks(spark: SparkSession, d: str) -> DataFrame:
     return metadata(spark, d, "sequence_id", "captured_at", "lat", "lon")
@@ -54,7 +43,7 @@ def queries() -> dict:
 
 
 _FRAMES_SQL = f"""with {IMAGES_SQL},
-f as (select sequence_id, image_id, nullif(captured_at, 0) as t, lat, lon, placed from m where sequence_id is not null),
+f as (select sequence_id, image_id, captured_at as t, lat, lon, placed from m where sequence_id is not null),
 g as (select *, row_number() over w as frame_no, t - lag(t) over w as gap_ms,
         lag(lat) over w as lat0, lag(lon) over w as lon0, coalesce(lag(placed) over w, false) as placed0
       from f window w as (partition by sequence_id order by t nulls last, image_id)),
@@ -65,6 +54,7 @@ frames as (select sequence_id, image_id, frame_no, gap_ms, step as step_m, case
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_district": f"with {IMAGES_SQL}, {DISTRICT_SQL} select m.image_id, district.district_id from m left join district using (image_id)",
         "p3_found": f"with {IMAGES_SQL} select sequence_id from m where sequence_id is not null group by 1 having count(*) * 50 >= (select count(*) from m)",
         "p3_frames": _FRAMES_SQL + "select sequence_id, image_id, frame_no, gap_ms, round(step_m, 4) as step_m, round(speed_ms, 4) as speed_ms from frames",
         "p3_sequences": _FRAMES_SQL
