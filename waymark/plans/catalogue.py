@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import analyses, at_scale, auditing, retrieval
+from waymark.plans import analyses, at_scale, auditing, reranking, retrieval
 
-MODULES = (retrieval, auditing, analyses, at_scale)
+MODULES = (retrieval, auditing, analyses, reranking, at_scale)
 
 
 def queries() -> dict:
