@@ -33,7 +33,7 @@ LIST_ROWS, MAX_LISTS = 1_600, 4096
 CODES = 16
 #: Candidates of a list that are scored exactly, in multiples of k + 1: in the best list,
 #: in those up to the fourth, and in the rest of the probes.
-KEEP = ((1, 10), (4, 7), (1 << 30, 4))
+KEEP = ((1, 20), (4, 8), (1 << 30, 5))
 #: Vectors and queries of one block of a list.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 16_384
 #: Inner products below this share of the norm don't matter (fixed value of the published method).
