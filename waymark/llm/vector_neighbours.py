@@ -54,10 +54,13 @@ class Model:
 
     def lists(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` best lists of each unit vector, best first."""
-        scores = x @ self.centroids.T
-        n = min(n, scores.shape[1])
-        best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1).astype(np.int32)
+        n = min(n, len(self.centroids))
+        out = np.zeros((len(x), n), dtype=np.int32)
+        for at in range(0, len(x), 2048):
+            scores = x[at : at + 2048] @ self.centroids.T
+            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            out[at : at + 2048] = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
+        return out
 
     def encode(self, x: np.ndarray, home: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes (n x subspaces) that minimise |r|^2 + (weight - 1) (r.x)^2 by coordinate descent."""
@@ -81,19 +84,28 @@ def _codes(residual: np.ndarray, parts: np.ndarray, books: np.ndarray, weight: f
     return codes
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, penalty: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the best centre for each row and its score, in blocks of rows."""
+    home, score = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=x.dtype)
+    for at in range(0, len(x), 2048):
+        scores = x[at : at + 2048] @ centres.T - penalty
+        home[at : at + 2048] = scores.argmax(1)
+        score[at : at + 2048] = scores.max(1)
+    return home, score
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        scores = x @ centres.T - (0 if spherical else 0.5 * (centres**2).sum(1))
-        home = scores.argmax(1)
+        home, score = _nearest(x, centres, 0.0 if spherical else 0.5 * (centres**2).sum(1))
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         counts = np.bincount(home, minlength=k)
         used = counts > 0
         centres[used] = sums[used] / counts[used, None]
         if (~used).any():  # an empty centre moves to a vector that fits badly
-            centres[~used] = x[np.argsort(scores.max(1))[: (~used).sum()]] if (~used).sum() <= len(x) else x[rng.choice(len(x), (~used).sum())]
+            centres[~used] = x[np.argsort(score)[: (~used).sum()]] if (~used).sum() <= len(x) else x[rng.choice(len(x), (~used).sum())]
         if spherical:
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres
@@ -104,7 +116,7 @@ def fit(sample: np.ndarray, n_lists: int, subspaces: int, rounds: int = 3, seed:
     x = sample.astype(np.float32)
     dim = x.shape[1]
     centroids = _kmeans(x, n_lists, 8, seed, spherical=True)
-    home = (x @ centroids.T).argmax(1)
+    home = _nearest(x, centroids, 0.0)[0]
     t2 = SCORE_THRESHOLD**2
     weight = max(1.0, (dim - 1) * t2 / (1 - t2))
     residual = (x - centroids[home]).reshape(len(x), subspaces, -1)
