@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,9 +59,9 @@ def confusion_pairs(first: DataFrame, top: int = 20) -> DataFrame:
 
     ``first`` has one row per wrong first hit with both regions and ``d_m``.
     """
-    total = first.agg(F.count("*").alias("total"))
+    total = first.agg(F.count("*")).scalar()
     pairs = first.where("q_region <> r_region").groupBy("q_region", "r_region").agg(F.count("*").alias("n"), F.percentile("d_m", F.lit(0.5)).alias("median_m"))
-    return pairs.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total").orderBy(F.desc("n"), "q_region", "r_region").limit(top)
+    return pairs.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), "q_region", "r_region").limit(top)
 
 
 def error_quantiles(first: DataFrame) -> DataFrame:
@@ -107,19 +109,23 @@ def rejection_curve(scored: DataFrame, bins: int = 4096) -> DataFrame:
     confidences are cut into ``bins`` ranges at their quantiles, ranges are ordered inside,
     and the counts of the ranges before are added. Ties are ordered by query id.
     """
-    cuts = scored.agg(F.percentile_approx("confidence", [i / bins for i in range(1, bins)], 10 * bins).alias("cuts"))
-    place = F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("confidence"))) if bins > 1 else F.lit(0)
-    rows = scored.join(F.broadcast(cuts)).withColumn("range", F.when(F.col("confidence").isNull(), F.lit(bins + 1)).otherwise(place)).drop("cuts")
+    cuts = np.unique(np.array(scored.agg(F.percentile_approx("confidence", [i / bins for i in range(1, bins)], 10 * bins)).first()[0] or [], dtype=float))
+
+    @F.pandas_udf("int")
+    def range_of(confidence: pd.Series) -> pd.Series:
+        return pd.Series(len(cuts) - np.searchsorted(cuts, confidence.to_numpy(), side="right"))
+
+    rows = scored.withColumn("range", F.when(F.col("confidence").isNull(), F.lit(bins + 1)).otherwise(range_of(F.coalesce("confidence", F.lit(0.0)))))
     sums = rows.groupBy("range").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
     along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``bins`` rows
     zero = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
     before = sums.select("range", zero("n").alias("n0"), zero("c").alias("c0"))
-    total = scored.agg(F.count("*").alias("total"))
+    total = scored.agg(F.count("*")).scalar()
     inside = Window.partitionBy("range").orderBy(F.col("confidence").desc_nulls_last(), "query_id").rowsBetween(Window.unboundedPreceding, 0)
     kept = F.col("n0") + F.count("*").over(inside)
     good = F.col("c0") + F.sum(F.col("correct").cast("long")).over(inside)
-    rows = rows.join(F.broadcast(before), "range").join(F.broadcast(total)).select("query_id", kept.alias("n_kept"), good.alias("good"), "total")
-    return rows.select("query_id", "n_kept", (F.col("n_kept") / F.col("total")).alias("coverage"), (F.col("good") / F.col("n_kept")).alias("precision"))
+    rows = rows.join(F.broadcast(before), "range").select("query_id", kept.alias("n_kept"), good.alias("good"))
+    return rows.select("query_id", "n_kept", (F.col("n_kept") / total).alias("coverage"), (F.col("good") / F.col("n_kept")).alias("precision"))
 
 
 def precision_at_coverage(curve: DataFrame, coverages: Sequence[float] = (0.8, 0.5, 0.2)) -> DataFrame:

@@ -72,8 +72,8 @@ def neighbourhood_summary(per_query: DataFrame) -> DataFrame:
 def creator_concentration(images: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` creators with their share and the running share of all images with a creator."""
     per = images.where("creator_id is not null").groupBy("creator_id").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    best = per.orderBy(F.desc("n"), "creator_id").limit(top).join(F.broadcast(total))
+    total = per.agg(F.sum("n")).scalar()
+    best = per.orderBy(F.desc("n"), "creator_id").limit(top).withColumn("total", total)
     along = Window.orderBy(F.desc("n"), "creator_id").rowsBetween(Window.unboundedPreceding, 0)  # over ``top`` rows
     return best.select("creator_id", "n", (F.col("n") / F.col("total")).alias("share"), (F.sum("n").over(along) / F.col("total")).alias("running_share"))
 

@@ -108,8 +108,9 @@ def clustered(found: DataFrame, k: int = 10, eps_m: float = 25.0, temperature: f
 
 def midpoint_baseline(queries: DataFrame, references: DataFrame) -> DataFrame:
     """Error of always answering with the references' mean coordinate."""
-    middle = references.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    return queries.select(F.col("image_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).join(F.broadcast(middle)).select("query_id", haversine("q_lat", "q_lon", "lat", "lon").alias("error_m"))
+    middle = references.agg(F.struct(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))).scalar()
+    rows = queries.select(F.col("image_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), middle.alias("middle"))
+    return rows.select("query_id", haversine("q_lat", "q_lon", "middle.lat", "middle.lon").alias("error_m"))
 
 
 def random_baseline(found_random: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ def histogram_vectors(detections: DataFrame, key: str = "image_id", skip_prefix:
     rows = detections.select(key, F.explode("counts").alias("class", "count")).where("count > 0")
     if skip_prefix:
         rows = rows.where(~F.startswith("class", F.lit(skip_prefix)))
-    n = detections.agg(F.count("*").alias("n_images"))
-    df = rows.groupBy("class").agg(F.countDistinct(key).alias("df")).join(F.broadcast(n))
+    n = detections.agg(F.count("*")).scalar()
+    df = rows.groupBy("class").agg(F.countDistinct(key).alias("df")).withColumn("n_images", n)
     weighted = rows.join(df, "class").select(key, "class", (F.sqrt("count") * (F.log(F.col("n_images") / F.col("df")) + 1)).alias("w"))
     norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, key).select(key, "class", (F.col("w") / F.col("norm")).alias("weight"))

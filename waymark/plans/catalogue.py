@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import analyses, at_scale, auditing, reranking, retrieval
+from waymark.plans import analyses, at_scale, auditing, numerics, records, reranking, retrieval
 
-MODULES = (retrieval, auditing, analyses, reranking, at_scale)
+MODULES = (retrieval, auditing, analyses, reranking, numerics, records, at_scale)
 
 
 def queries() -> dict:
