@@ -26,9 +26,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_normalized(a: Column | str) -> Column:
-    """Vector of unit norm in double precision; a zero vector stays as it is."""
+    """Vector of unit norm in double precision; a zero vector stays as it is.
+
+    The norm is bound by a one-element array, or it would be summed anew for each element.
+    """
     n = norm(a)
-    return F.transform(_c(a), lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    safe = F.array(F.when(n > 0, n).when(n == 0, F.lit(1.0)))
+    return F.transform(safe, lambda m: F.transform(_c(a), lambda x: x.cast("double") / m))[0]
 
 
 def finite(a: Column | str) -> Column:
