@@ -219,3 +219,27 @@ def test_running_speed_stream(spark, tmp_path):
     stream = spark.readStream.schema("sequence_id string, captured_at long, lat double, lon double").parquet(str(tmp_path / "in"))
     out = arrivals.run_available(arrivals.running_speed(stream), str(tmp_path / "out"), mode="update")
     assert [(r.sequence_id, round(r.speed_ms, 2)) for r in out.collect()] == [("a", 10.0)]
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from waymark.operators import quantiles as qs
+
+    monkeypatch.setattr(qs, "FEW", 10)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.lognormal(0, 3, 3000), np.full(1500, 2.5), [1e12, -1e12]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    ask = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    assert qs.exact_quantiles(df, "v", ask) == pytest.approx(np.quantile(x, ask).tolist(), rel=1e-12)
+    assert qs.exact_quantiles(df.where("false"), "v", ask) == [None] * len(ask)
+    assert qs.exact_quantiles(df.limit(1), "v", [0.3]) == [pytest.approx(x[0])]
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_top_k_with_ties(k):
+    rng = np.random.default_rng(k)
+    ids = rng.permutation(60).reshape(3, 20)
+    sims = rng.integers(0, 4, (3, 20)).astype(float)
+    got, kept = search.top_k(ids, sims, k)
+    for i in range(3):
+        assert got[i].tolist() == ids[i][np.lexsort((ids[i], -sims[i]))[:k]].tolist()
+    assert (np.diff(kept, axis=1) <= 0).all()

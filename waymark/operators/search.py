@@ -15,25 +15,41 @@ from waymark.functions.geo import haversine
 
 #: Queries sent to every task at a time.
 QUERY_BLOCK = 4096
+#: References scored at a time, which bounds the matrix of similarities.
+REFERENCE_BLOCK = 2048
+
+
+def top_k(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest of each row, ties to the smaller id, in order."""
+    k = min(k, sims.shape[1])
+    if not k:
+        return ids[:, :0], sims[:, :0]
+    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, best, 1).min(1)
+    # Where more than k reach the least value kept, the partition chose among ties by chance.
+    for row in np.flatnonzero((sims >= least[:, None]).sum(1) > k):
+        reach = np.flatnonzero(sims[row] >= least[row])
+        best[row] = reach[np.lexsort((ids[row, reach], -sims[row, reach]))[:k]]
+    found, kept = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
+    order = np.lexsort((found, -kept), axis=1)
+    return np.take_along_axis(found, order, 1), np.take_along_axis(kept, order, 1)
 
 
 def _scorer(shared, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best_ids = np.zeros((len(ids), 0), dtype=np.int64)
-        best = np.zeros((len(ids), 0))
+        best_ids, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
             names = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-            sims = np.round(q @ x.T, 9)
-            sims[ids[:, None] == names[None]] = -np.inf
-            all_ids = np.concatenate([best_ids, np.broadcast_to(names, sims.shape)], 1)
-            all_sims = np.concatenate([best, sims], 1)
-            order = np.lexsort((all_ids, -all_sims), axis=1)[:, :k]
-            best_ids, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
+            if not len(names):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1).astype(np.float64)
+            for at in range(0, len(names), REFERENCE_BLOCK):
+                here = names[at : at + REFERENCE_BLOCK]
+                sims = np.round(q @ x[at : at + REFERENCE_BLOCK].T, 9)
+                sims[ids[:, None] == here[None]] = -np.inf
+                new_ids, new = top_k(np.broadcast_to(here, sims.shape), sims, k)
+                best_ids, best = top_k(np.concatenate([best_ids, new_ids], 1), np.concatenate([best, new], 1), k)
         ok = np.isfinite(best)
         row, _ = np.nonzero(ok)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_ids[ok]), pa.array(best[ok])], names=["query_id", "ref_id", "sim"])

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import audit, evaluation, skew
+from waymark.operators.quantiles import exact_quantiles
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import Scene, near_sql
 from waymark.sources import views
+from waymark.sources.staging import stage
 from waymark.sources.tables import split_name, table, trimmed
 from waymark.sources.views import IMAGES_SQL, hits_sql, metres_sql
 
@@ -192,7 +194,9 @@ def a34_sequence_speed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a35_median_speed", f"with {_STEPS} select count(*) as n_steps, round(median(speed), 4) as median_ms from v where dt <= 60000 and speed <= 50")
 def a35_median_speed(spark: SparkSession, d: str) -> DataFrame:
-    return _speeds(spark, d).where("gap_ms <= 60000 and speed_ms <= 50").agg(F.count("*").alias("n_steps"), F.round(F.percentile("speed_ms", F.lit(0.5)), 4).alias("median_ms"))
+    steps = stage(_speeds(spark, d).where("gap_ms <= 60000 and speed_ms <= 50").select("speed_ms"), "speeds")
+    median = exact_quantiles(steps, "speed_ms", [0.5])[0]
+    return steps.agg(F.count("*").alias("n_steps")).select("n_steps", F.round(F.lit(median).cast("double"), 4).alias("median_ms"))
 
 
 def _speeds(spark: SparkSession, d: str) -> DataFrame:
