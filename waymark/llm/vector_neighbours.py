@@ -247,9 +247,10 @@ def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id",
     """
     spark = vectors.sparkSession
     members = usable_vectors(vectors, dim, id_col, vec_col).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
+    members = stage(members, "vectors")
+    # The filter on the rank limits each class before its shuffle, so a class of copies is no hot task.
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
-    members = stage(members.withColumn("nth", nth), "vectors")
-    leaders = members.where(F.col("nth") <= k + 1)
+    leaders = stage(members.withColumn("nth", nth).where(F.col("nth") <= k + 1), "leaders")
     n = leaders.count()
     if not n:
         return spark.createDataFrame([], f"{id_col} long, indices array<long>, similarities array<double>")
@@ -272,9 +273,10 @@ def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id",
     # Per query at most probes x blocks short lists are merged.
     pairs = F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("ids").alias("i"))
     merged = found.select("query", pairs.alias("p")).groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))
-    copies = members.where(F.col("nth") > k + 1).select(F.col("id").alias("copy"), "h1", "h2")
-    firsts = members.where("nth = 1").select(F.col("id").alias("query"), "h1", "h2")
-    spread = copies.join(firsts, ["h1", "h2"]).join(merged, "query").select(F.col("copy").alias("query"), "p")
+    crowded = members.groupBy("h1", "h2").agg(F.count("*").alias("many")).where(F.col("many") > k + 1).select("h1", "h2")
+    copies = members.select("id", "h1", "h2").join(crowded, ["h1", "h2"]).join(leaders.select("id"), "id", "left_anti")
+    firsts = leaders.where("nth = 1").select(F.col("id").alias("query"), "h1", "h2")
+    spread = copies.join(firsts, ["h1", "h2"]).join(merged, "query").select(F.col("id").alias("query"), "p")
     others = F.slice(F.filter("p", lambda x: x["i"] != F.col("query")), 1, k)
     return merged.unionByName(spread).select(F.col("query").alias(id_col), F.transform(others, lambda x: x["i"]).alias("indices"), F.transform(others, lambda x: -x["s"]).alias("similarities"))
 
