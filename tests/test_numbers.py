@@ -159,10 +159,10 @@ def test_roads(spark):
 
 
 def test_formats(spark, tmp_path):
-    assert formats.slug("Halle (Saale), Land") == "halle-saale" and formats.slug("Ærøskøbing") == "aeroeskoebing" and formats.slug("Osnabrück") == "osnabrueck"
+    assert formats.slug("Bad Ort (Süd), Land") == "bad-ort-sued" and formats.slug("Ærø") == "aeroe" and formats.slug("Łódź") == "lodz"
     with pytest.raises(ValueError):
         formats.slug("???")
-    assert formats.variant_base("megaloc_fullref_gv20") == ("megaloc_fullref", "gv20") and formats.variant_base("clip") == ("clip", None)
+    assert formats.variant_base("net_fullref_gv20") == ("net_fullref", "gv20") and formats.variant_base("net") == ("net", None)
     formats.write_record({"a": float("nan"), "b": [1.0, float("inf")]}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": None, "b": [1.0, None]}
     df = spark.createDataFrame([(1, float("nan"))], "a int, b double")
@@ -243,3 +243,47 @@ def test_top_k_with_ties(k):
     for i in range(3):
         assert got[i].tolist() == ids[i][np.lexsort((ids[i], -sims[i]))[:k]].tolist()
     assert (np.diff(kept, axis=1) <= 0).all()
+
+
+def test_embedder_keeps_bad_images_apart(spark):
+    from waymark.operators.embedding import HashEmbedder, embed_images
+
+    class Picky(HashEmbedder):
+        def embed(self, images):
+            if any(b == b"bad" for b in images):
+                raise ValueError("unreadable")
+            return super().embed(images)
+
+    df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"bad")), (3, None), (4, bytearray(b"a"))], "image_id long, content binary")
+    out = {r.image_id: r for r in embed_images(df, Picky).collect()}
+    assert out[1].vec == out[4].vec and sum(v * v for v in out[1].vec) == pytest.approx(1.0, abs=1e-6)
+    assert out[2].vec is None and "unreadable" in out[2].error and out[3].error == "no content"
+
+
+def test_adapter_training_beats_the_identity_only_if_it_can():
+    from waymark.operators.adapter import mini_recall, train_adapter, triplet_loss
+
+    rng = np.random.default_rng(0)
+    place = rng.normal(size=(40, 4))
+    view = lambda: np.concatenate([place, rng.normal(size=(40, 12))], 1)
+    a, p = np.concatenate([view() for _ in range(20)]), np.concatenate([view() for _ in range(20)])
+    n = p[rng.permutation(len(p))]
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q, r = norm(view()), norm(view())
+    check = lambda ad: mini_recall(ad, q, r, [{i} for i in range(40)])
+    best, history = train_adapter(norm(a), norm(p), norm(n), check, epochs=30, batch=32, rate=0.01, margin=0.5, patience=30)
+    assert max(history) > history[0] + 0.2 and check(best) == max(history)
+    idle, flat = train_adapter(norm(a), norm(p), norm(n), lambda ad: 0.5, epochs=8)
+    assert (idle.weights == np.eye(16)).all() and len(flat) == 4
+    assert triplet_loss(best, norm(a), norm(p), norm(n), 0.5).mean() < triplet_loss(idle, norm(a), norm(p), norm(n), 0.5).mean()
+
+
+def test_examples(spark):
+    from waymark.operators import examples
+
+    df = spark.createDataFrame([(1, "a", "s"), (2, "a", "s"), (3, "b", "s"), (4, "b", "t")], "i int, c string, s string")
+    assert [r["i"] for r in examples.diverse_examples(df, 3, ("c", "s"), "i")] == [1, 4, 2]
+    images = spark.createDataFrame([(52.0, 8.0, True), (52.1, 8.1, True), (0.0, 0.0, False)], "lat double, lon double, placed boolean")
+    grid = examples.blurred_density(images, 42, 30)
+    assert np.expm1(grid).sum() == pytest.approx(2.0) and grid.shape == (30, 42)
+    assert examples.blurred_density(images.where("false"), 4, 3).sum() == 0

@@ -27,7 +27,7 @@ def heavy_keys(rows: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     At most 1 / ``share`` bins reach the driver and as many keys come out. A null key is
     never heavy but its rows count in the total; an empty table has no heavy keys.
     """
-    part = Fraction(str(share))
+    part = Fraction(str(share)).limit_denominator(10**9)
     if not 0 < part <= 1:
         raise ValueError("share must lie in (0, 1]")
     bin_ = F.pmod(F.xxhash64(key), F.lit(SKETCH_BINS))
@@ -49,7 +49,7 @@ def _steps() -> list[Column]:
     return [F.col("_no").cast("long").alias("frame_no"), gap, step.alias("step_m"), F.when(seconds > 0, step / seconds).alias("speed_ms")]
 
 
-def frames(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000) -> DataFrame:
+def frames(images: DataFrame, share: float | None = None, rows_per_task: int = 100_000) -> DataFrame:
     """Order of the frames of every sequence, with time gap, distance and speed to the frame before.
 
     ``images`` has one row per image: ``image_id, sequence_id, captured_at, lat, lon``.
@@ -57,7 +57,9 @@ def frames(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000)
     and has no gap. Distances need two usable positions, speeds a positive gap. Images
     without a sequence have no frame order and are left out. However skewed the sequences,
     a task orders about ``rows_per_task`` rows of a heavy one: its rows are cut at quantiles
-    of time, and where many share one instant also at quantiles of the image id.
+    of time, and where many share one instant also at quantiles of the image id. A sequence
+    is heavy from ``share`` of all rows; by default from ten times ``rows_per_task``, but
+    never below a thousandth, which bounds the keys the driver sees to 1,000.
     """
     base = stage(
         images.where("sequence_id is not null").select("sequence_id", "image_id", F.when(F.col("captured_at") != 0, F.col("captured_at")).alias("_t"), "lat", "lon"),
@@ -66,6 +68,8 @@ def frames(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000)
     seat = F.struct("_t", "lat", "lon")
     order = [F.col("_t").asc_nulls_last(), F.col("image_id")]
     out = ["sequence_id", "image_id"]
+    if share is None:
+        share = min(0.02, max(0.001, 10 * rows_per_task / max(base.count(), 1)))
     heavy = {r["sequence_id"]: r["n"] for r in heavy_keys(base, "sequence_id", share).collect()}
     light = base if not heavy else base.where(~F.col("sequence_id").isin(list(heavy)))
     w = Window.partitionBy("sequence_id").orderBy(*order)
@@ -73,7 +77,7 @@ def frames(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000)
     if not heavy:
         return calm
 
-    n_cuts = max(1, -(-max(heavy.values()) // rows_per_task))
+    n_cuts = min(1000, max(1, -(-max(heavy.values()) // rows_per_task)))
     fractions = [(i + 1) / (n_cuts + 1) for i in range(n_cuts)]
     hot = base.where(F.col("sequence_id").isin(list(heavy)))
     cuts = hot.groupBy("sequence_id").agg(F.array_distinct(F.percentile_approx("_t", fractions, 10_000)).alias("_cuts"))
@@ -94,7 +98,7 @@ def frames(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000)
     return calm.unionByName(ranked.select(*out, *_steps()))
 
 
-def sequence_stats(images: DataFrame, share: float = 0.02, rows_per_task: int = 100_000) -> DataFrame:
+def sequence_stats(images: DataFrame, share: float | None = None, rows_per_task: int = 100_000) -> DataFrame:
     """Per sequence: frames, gaps, mean and longest gap, metres travelled and greatest speed."""
     rows = frames(images, share, rows_per_task)
     return rows.groupBy("sequence_id").agg(

@@ -146,6 +146,16 @@ def j13_missing(spark: SparkSession, d: str) -> DataFrame:
     return audit.missing_keys(table(spark, d, "metadata").select("image_id"), table(spark, d, "descriptors"), "image_id")
 
 
+@query(
+    "s20_missing_fraction",
+    """with e as (select distinct image_id from metadata), p as (select distinct image_id from descriptors where image_id is not null)
+select count(*) as expected, count(p.image_id) as present, count(*) - count(p.image_id) as missing, round((count(*) - count(p.image_id)) / count(*), 6) as fraction from e left join p using (image_id)""",
+)
+def s20_missing_fraction(spark: SparkSession, d: str) -> DataFrame:
+    record = audit.missing_fraction(table(spark, d, "metadata").select("image_id"), table(spark, d, "descriptors").select("image_id"), "image_id")
+    return spark.createDataFrame([tuple(record.values())], "expected long, present long, missing long, fraction double").withColumn("fraction", F.round("fraction", 6))
+
+
 @query("set_intersect", f"with {_LISTS} select sequence_id from s where split = 'train' intersect select sequence_id from s where split <> 'train'")
 def set_intersect(spark: SparkSession, d: str) -> DataFrame:
     """Sequences listed in train and in another split."""

@@ -47,6 +47,25 @@ def k1_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.exact_topk(v.where(F.col("image_id") % 50 == 0), v, 10).withColumn("sim", F.round("sim", 6))
 
 
+_TOP_SQL = f"""with {VECTORS_SQL}, a as (select * from v {{0}}),
+s as (select a.image_id as query_id, b.image_id as ref_id, round({_dot("a.vec", "b.vec")}, 9) as sim from a join v b on a.image_id <> b.image_id),
+t as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from s) select query_id, rank, ref_id, round(sim, 6) as sim from t where rank <= {{1}}"""
+
+
+@query("k3_blockwise", _TOP_SQL.format("where image_id % 50 = 0", 20))
+def k3_blockwise(spark: SparkSession, d: str) -> DataFrame:
+    """Exact search with many small query blocks: the running merge gives the same lists."""
+    v = _vectors(spark, d)
+    return search.exact_topk(v.where(F.col("image_id") % 50 == 0), v, 20, block=64).withColumn("sim", F.round("sim", 6))
+
+
+@query("k4_locator_topk", _TOP_SQL.format("order by image_id limit 1", 50))
+def k4_locator_topk(spark: SparkSession, d: str) -> DataFrame:
+    """One query against everything, as the locator asks."""
+    v = _vectors(spark, d)
+    return search.exact_topk(v.orderBy("image_id").limit(1), v, 50).withColumn("sim", F.round("sim", 6))
+
+
 @query(
     "k7_argmax",
     f"""with {VECTORS_SQL}, s as (select a.image_id as query_id, b.image_id as ref_id, round({_dot("a.vec", "b.vec")}, 9) as sim from v a join v b on a.image_id % 50 = 0 and a.image_id <> b.image_id)
@@ -103,6 +122,14 @@ def v5_whitened(spark: SparkSession, d: str) -> DataFrame:
     return descriptors.apply_projection(v, descriptors.fit_pca(v, 16, whiten=True))
 
 
+@query("v6_projection_check")
+def v6_projection_check(spark: SparkSession, d: str) -> DataFrame:
+    """Projections fitted on everything and on a seeded sample of half the images, compared by cosine."""
+    v = _vectors(spark, d)
+    whole, half = descriptors.fit_pca(v, 8), descriptors.fit_pca(v, 8, fit_images=max(1, v.count() // 2))
+    return descriptors.mean_cosine(descriptors.apply_projection(v, whole), descriptors.apply_projection(v, half))
+
+
 @query("v8_adapter")
 def v8_adapter(spark: SparkSession, d: str) -> DataFrame:
     """Mean cosine between descriptors and their image under a rotation of the first two axes."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions.geo import local_xy, tile_x, tile_y
-from waymark.operators import evaluation, rerank, roads
+from waymark.operators import embedding, evaluation, examples, rerank, roads
 from waymark.plans.analyses import rounded
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import FULL, Scene
@@ -200,3 +200,33 @@ def variant_random_hits(spark: SparkSession, d: str) -> DataFrame:
     drawn = evaluation.hits(evaluation.random_rankings(s.queries, s.references, 1), s.queries, s.references)
     a = s.hits.where("rank = 1").select("query_id", F.col("d_m").alias("stored_m"))
     return a.join(drawn.where("rank = 1").select("query_id", F.col("d_m").alias("random_m")), "query_id")
+
+
+@query(
+    "w7_largest_district",
+    "select district_id, district_name, area_km2 from districts where area_km2 >= 1 qualify row_number() over (partition by district_name order by area_km2 desc, district_id) = 1",
+)
+def w7_largest_district(spark: SparkSession, d: str) -> DataFrame:
+    return examples.district_choice(table(spark, d, "districts"), 1.0)
+
+
+@query("j10_scenes")
+def j10_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """For each query the nearest database image its camera looks at within 80 m."""
+    s = Scene(spark, d)
+    return examples.scenes(s.queries.select("image_id", "lat", "lon", "heading"), s.references.select("image_id", "lat", "lon"))
+
+
+@query("l10_diverse_examples")
+def l10_diverse_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve first hits within 25 m from as many creators and sequences as can be."""
+    good = Scene(spark, d, FULL).hits.where("rank = 1 and d_m <= 25").select("query_id", "q_creator", "q_sequence", "d_m")
+    picked = examples.diverse_examples(good, 12, ("q_creator", "q_sequence"), "query_id")
+    return spark.createDataFrame([tuple(r.values()) for r in picked], good.schema)
+
+
+@query("embed_fake")
+def embed_fake(spark: SparkSession, d: str) -> DataFrame:
+    """The encoder interface with a hash encoder over the images' ids."""
+    content = table(spark, d, "metadata").select("image_id").distinct().select("image_id", F.encode(F.col("image_id").cast("string"), "utf-8").alias("content"))
+    return embedding.embed_images(content, embedding.HashEmbedder).select("image_id", F.size("vec").alias("dim"), "error")
