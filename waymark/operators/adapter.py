@@ -37,7 +37,7 @@ def train_adapter(
     dim = anchors.shape[1]
     w, b = np.eye(dim), np.zeros(dim)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    best, history, waited, step = LinearAdapter(w, b), [], 0, 0
+    best, history, waited, step = LinearAdapter(w.copy(), b.copy()), [], 0, 0
     history.append(validate(best))
     top, rng = history[0], np.random.default_rng(seed)
     for _ in range(epochs):
