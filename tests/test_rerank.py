@@ -53,6 +53,28 @@ def test_smoothing_overrules_an_outlier_and_keeps_every_entry(spark):
     assert {r.query_id: r.ref_id for r in alone if r.rank == 1}[1] == 901
 
 
+@pytest.mark.parametrize("max_frames", [1, 3, 7])
+def test_smoothing_in_blocks_equals_the_whole_drive(spark, max_frames):
+    t, k, speed = 23, 4, 8.0
+    sim, lat, lon, at = lattice(t, k, 5)
+    at, width = np.floor(at), np.random.default_rng(6).integers(1, k + 1, t)
+    seats = np.sort(np.random.default_rng(7).permutation(40)[:t]) + 1  # the other frames have no list
+    for i in range(t):
+        sim[i] = -np.sort(-sim[i]) / 10
+        sim[i, width[i] :] = -np.inf
+    posterior, path = rerank.hmm_paths(sim, lat, lon, at, 30.0, 25.0, speed)
+    rows = [(i, c + 1, 100 * i + c, float(sim[i, c]), int(at[i]), float(lat[i, c]), float(lon[i, c])) for i in range(t) for c in range(width[i])]
+    found = spark.createDataFrame(rows, "query_id long, rank long, ref_id long, sim double, q_at long, r_lat double, r_lon double")
+    positions = spark.createDataFrame([(i, "s", int(seats[i])) for i in range(t)], "image_id long, sequence_id string, pos long")
+    out = rerank.hmm_smoothing(found, positions, speed=speed, max_frames=max_frames).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        i, c = divmod(r.ref_id, 100)
+        assert r.query_id == i
+        assert r.posterior == pytest.approx(posterior[i, c], abs=1e-9)
+        assert r.on_path == (path[i] == c)
+
+
 def lists(spark, rows):
     return spark.createDataFrame(rows, "query_id long, rank long, ref_id long, sim double")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.sources.staging import stage
+
 
 def reranked(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``rank`` counted anew per query in the given order."""
@@ -39,26 +41,39 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def hmm_paths(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (frames x candidates) and the best path of one drive.
+def _move(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray, seconds: float, sigma: float, speed: float) -> np.ndarray:
+    """Log weights of the transitions between the candidates of two frames."""
+    phi, lam, to_phi, to_lam = np.radians(lat)[:, None], np.radians(lon)[:, None], np.radians(to_lat)[None], np.radians(to_lon)[None]
+    h = np.sin((to_phi - phi) / 2) ** 2 + np.cos(phi) * np.cos(to_phi) * np.sin((to_lam - lam) / 2) ** 2
+    d = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+    return -np.abs(d - speed * seconds) / sigma
+
+
+def _moves(lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, sigma: float, speed: float) -> list[np.ndarray]:
+    return [_move(lat[i - 1], lon[i - 1], lat[i], lon[i], (at_ms[i] - at_ms[i - 1]) / 1000.0, sigma, speed) for i in range(1, len(at_ms))]
+
+
+def hmm_paths(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float, outside: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (frames x candidates) and the best path of one drive, or of a block of it.
 
     Emissions are ``beta * sim``, transitions ``-|d - speed * dt| / sigma`` with the great-circle
-    distance between candidates; absent candidates carry a similarity of -inf.
+    distance between candidates; absent candidates carry a similarity of -inf. ``outside``
+    has what ``hmm_boundaries`` says about the rest of the drive.
     """
     t, k = sim.shape
     emit = beta * sim
     forward, backward, best = np.zeros((t, k)), np.zeros((t, k)), np.zeros((t, k))
     back = np.zeros((t, k), dtype=int)
     forward[0] = best[0] = emit[0]
-    moves = []
-    phi, lam = np.radians(lat), np.radians(lon)
+    if outside is not None:
+        n, m = len(outside["forward"]), len(outside["backward"])
+        forward[0, :n] += outside["forward"]
+        best[0, :n] += outside["enter"]
+        backward[-1, :m] = outside["backward"]
+    moves = _moves(lat, lon, at_ms, sigma, speed)
     for i in range(1, t):
-        h = np.sin((phi[i][None] - phi[i - 1][:, None]) / 2) ** 2 + np.cos(phi[i - 1])[:, None] * np.cos(phi[i])[None] * np.sin((lam[i][None] - lam[i - 1][:, None]) / 2) ** 2
-        d = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
-        move = -np.abs(d - speed * (at_ms[i] - at_ms[i - 1]) / 1000.0) / sigma
-        moves.append(move)
-        forward[i] = emit[i] + _log_sum(forward[i - 1][:, None] + move, 0)
-        options = best[i - 1][:, None] + move
+        forward[i] = emit[i] + _log_sum(forward[i - 1][:, None] + moves[i - 1], 0)
+        options = best[i - 1][:, None] + moves[i - 1]
         back[i] = options.argmax(0)
         best[i] = emit[i] + options.max(0)
     for i in range(t - 2, -1, -1):
@@ -66,42 +81,127 @@ def hmm_paths(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarr
     joint = forward + backward
     posterior = np.exp(joint - _log_sum(joint, 1)[:, None])
     path = np.zeros(t, dtype=int)
-    path[-1] = best[-1].argmax()
+    path[-1] = best[-1].argmax() if outside is None else outside["leave"]
     for i in range(t - 1, 0, -1):
         path[i - 1] = back[i][path[i]]
     return posterior, path
 
 
+def hmm_transfer(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log sum and maximum over all paths from each candidate of the first frame to each of the last.
+
+    The first frame's emission is left out, all others count.
+    """
+    sums = tops = np.where(np.eye(sim.shape[1], dtype=bool), 0.0, -np.inf)
+    for emit, move in zip(beta * sim[1:], _moves(lat, lon, at_ms, sigma, speed)):
+        sums = emit[None] + _log_sum(sums[:, :, None] + move[None], 1)
+        tops = emit[None] + (tops[:, :, None] + move[None]).max(1)
+    return sums, tops
+
+
+def hmm_boundaries(blocks: list[dict], sigma: float, speed: float) -> list[dict]:
+    """What each block of a drive must know of the others, from the blocks' transfer matrices in order.
+
+    ``forward`` and ``enter`` go to the candidates of its first frame: the log sum over all
+    paths before it, and the step from the best path's candidate in the frame before.
+    ``backward`` is the log sum over all paths after its last frame, by that frame's
+    candidates, and ``leave`` the candidate there on the best path. Each vector of sums is
+    shifted to a maximum of 0, which posteriors don't see.
+    """
+    steps = [_move(a["last_lat"], a["last_lon"], b["first_lat"], b["first_lon"], (b["first_at"] - a["last_at"]) / 1000.0, sigma, speed) for a, b in zip(blocks, blocks[1:])]
+    out = [{"forward": np.zeros(len(b["first_lat"])), "enter": np.zeros(len(b["first_lat"])), "backward": np.zeros(len(b["last_lat"]))} for b in blocks]
+    best, back = (blocks[0]["emit"][:, None] + blocks[0]["tops"]).max(0), []
+    for i, step in enumerate(steps):
+        here, b = blocks[i], blocks[i + 1]
+        told = _log_sum((out[i]["forward"] + here["emit"])[:, None] + here["sums"], 0)
+        forward = _log_sum(told[:, None] + step, 0)
+        out[i + 1]["forward"] = forward - forward.max()
+        through = ((step + b["emit"][None])[:, :, None] + b["tops"][None]).max(1)
+        options = best[:, None] + through
+        back.append(options.argmax(0))
+        best = options.max(0)
+    for i in range(len(steps) - 1, -1, -1):
+        b = blocks[i + 1]
+        told = _log_sum(b["sums"] + out[i + 1]["backward"][None], 1)
+        backward = _log_sum(steps[i] + (b["emit"] + told)[None], 1)
+        out[i]["backward"] = backward - backward.max()
+    out[-1]["leave"] = int(best.argmax())
+    for i in range(len(steps) - 1, -1, -1):
+        out[i]["leave"] = int(back[i][out[i + 1]["leave"]])
+        out[i + 1]["enter"] = steps[i][out[i]["leave"]]
+    return out
+
+
+def _lattice(drive: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows in order, their frames and places, and ``sim, lat, lon, at_ms`` as arrays."""
+    drive = drive.assign(q_at=drive["q_at"].fillna(0)).sort_values(["q_at", "query_id", "rank"], kind="stable").reset_index(drop=True)
+    frame = drive.groupby(["q_at", "query_id"], sort=True).ngroup().to_numpy()
+    place = drive.groupby("query_id").cumcount().to_numpy()
+    t, k = frame.max() + 1, place.max() + 1
+    sim, lat, lon = np.full((t, k), -np.inf), np.zeros((t, k)), np.zeros((t, k))
+    sim[frame, place], lat[frame, place], lon[frame, place] = drive["sim"].fillna(-1.0), drive["r_lat"], drive["r_lon"]
+    at = np.zeros(t)
+    at[frame] = drive["q_at"]
+    return drive, frame, place, (sim, lat, lon, at)
+
+
+_LINK = "chain string, block long, first_at double, first_lat array<double>, first_lon array<double>, emit array<double>, last_at double, last_lat array<double>, last_lon array<double>, sums array<double>, tops array<double>"
+_BOUNDARY = "chain string, block long, forward array<double>, enter array<double>, backward array<double>, leave long"
+
+
 def hmm_smoothing(found: DataFrame, positions: DataFrame, beta: float = 30.0, sigma: float = 25.0, speed: float = 8.0, max_frames: int = 2_000) -> DataFrame:
     """R2: lists re-ranked by the posterior of a hidden Markov model along each drive.
 
     ``found`` has ``query_id, rank, ref_id, sim, q_at, r_lat, r_lon``, ``positions`` the
-    place of each image in its sequence (``image_id, sequence_id, pos``). A chain is the
-    queries among ``max_frames`` consecutive frames of a sequence, so no group is
-    unbounded; queries without a sequence or time are chains of one. Queries' own positions
-    are never read; equal posteriors keep the search order.
+    place of each image in its sequence (``image_id, sequence_id, pos``). A chain is all
+    queries of a sequence; those without a sequence or time are chains of one. A task has
+    the queries among ``max_frames`` consecutive frames, and a chain over several such
+    blocks is exact all the same: each block is reduced to the sums and maxima over its
+    paths (two matrices), these are composed along the chain, and every block then runs
+    with the messages from both sides. What a task sees of a whole chain is two small
+    matrices per block. Queries' own positions are never read; equal posteriors keep the
+    search order.
     """
     seat = positions.where("sequence_id is not null").select(F.col("image_id").alias("query_id"), "sequence_id", "pos")
     rows = found.select("query_id", "rank", "ref_id", "sim", "q_at", "r_lat", "r_lon").join(seat, "query_id", "left")
     alone = F.col("sequence_id").isNull() | F.col("q_at").isNull()
-    segment = F.floor((F.col("pos") - 1) / max_frames).cast("string")
-    chain = F.when(alone, F.concat(F.lit("q:"), F.col("query_id").cast("string"))).otherwise(F.concat_ws(":", F.lit("s"), F.col("sequence_id"), segment))
-    rows = rows.withColumn("chain", chain).drop("sequence_id", "pos")
-
-    def smooth(drive: pd.DataFrame) -> pd.DataFrame:
-        drive = drive.assign(q_at=drive["q_at"].fillna(0)).sort_values(["q_at", "query_id", "rank"], kind="stable").reset_index(drop=True)
-        frame = drive.groupby(["q_at", "query_id"], sort=True).ngroup().to_numpy()
-        place = drive.groupby("query_id").cumcount().to_numpy()
-        t, k = frame.max() + 1, place.max() + 1
-        sim, lat, lon = np.full((t, k), -np.inf), np.zeros((t, k)), np.zeros((t, k))
-        sim[frame, place], lat[frame, place], lon[frame, place] = drive["sim"].fillna(-1.0), drive["r_lat"], drive["r_lon"]
-        at = np.zeros(t)
-        at[frame] = drive["q_at"]
-        posterior, path = hmm_paths(sim, lat, lon, at, beta, sigma, speed)
+    block = F.when(alone, F.lit(0)).otherwise(F.floor((F.col("pos") - 1) / max_frames)).cast("long")
+    chain = F.when(alone, F.concat(F.lit("q:"), F.col("query_id").cast("string"))).otherwise(F.concat(F.lit("s:"), "sequence_id"))
+    rows = stage(rows.withColumns({"chain": chain, "block": block}).drop("sequence_id", "pos"), "chains")
+    cut = stage(rows.groupBy("chain").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("chain"), "cut")
+
+    def smoothed(drive: pd.DataFrame, outside: dict | None) -> pd.DataFrame:
+        drive, frame, place, lattice = _lattice(drive)
+        posterior, path = hmm_paths(*lattice, beta, sigma, speed, outside)
         return pd.DataFrame({"query_id": drive["query_id"], "ref_id": drive["ref_id"], "old_rank": drive["rank"], "posterior": posterior[frame, place], "on_path": path[frame] == place})
 
-    out = rows.groupBy("chain").applyInPandas(smooth, "query_id long, ref_id long, old_rank long, posterior double, on_path boolean")
-    return reranked(out, F.col("posterior").desc(), F.col("old_rank")).select("query_id", "rank", "ref_id", "posterior", "on_path")
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        drive, frame, _, (sim, lat, lon, at) = _lattice(part)
+        sums, tops = hmm_transfer(sim, lat, lon, at, beta, sigma, speed)
+        n, m = (frame == 0).sum(), (frame == frame[-1]).sum()
+        cells = [at[0], lat[0, :n], lon[0, :n], beta * sim[0, :n], at[-1], lat[-1, :m], lon[-1, :m], sums[:n, :m].ravel(), tops[:n, :m].ravel()]
+        return pd.DataFrame([[drive["chain"][0], drive["block"][0], *cells]], columns=[c.split()[0] for c in _LINK.split(", ")])
+
+    def bound(links: pd.DataFrame) -> pd.DataFrame:
+        links = links.sort_values("block")
+        blocks = links.to_dict("records")
+        for b in blocks:
+            b["sums"], b["tops"] = (np.asarray(b[c]).reshape(len(b["first_lat"]), -1) for c in ("sums", "tops"))
+        out = pd.DataFrame(hmm_boundaries(blocks, sigma, speed))
+        return out.assign(chain=links["chain"].to_numpy(), block=links["block"].to_numpy())[[c.split()[0] for c in _BOUNDARY.split(", ")]]
+
+    def whole_drive(drive: pd.DataFrame) -> pd.DataFrame:
+        return smoothed(drive, None)
+
+    def piece(drive: pd.DataFrame, boundary: pd.DataFrame) -> pd.DataFrame:
+        return smoothed(drive, boundary.iloc[0].to_dict())
+
+    schema = "query_id long, ref_id long, old_rank long, posterior double, on_path boolean"
+    whole = rows.join(cut, "chain", "left_anti").groupBy("chain").applyInPandas(whole_drive, schema)
+    pieces = rows.join(cut, "chain").select(rows.columns)
+    bounds = pieces.groupBy("chain", "block").applyInPandas(link, _LINK).groupBy("chain").applyInPandas(bound, _BOUNDARY)
+    parts = pieces.groupBy("chain", "block").cogroup(bounds.groupBy("chain", "block")).applyInPandas(piece, schema)
+    return reranked(whole.unionByName(parts), F.col("posterior").desc(), F.col("old_rank")).select("query_id", "rank", "ref_id", "posterior", "on_path")
 
 
 def twins_last(found: DataFrame, is_twin: Column) -> DataFrame:
