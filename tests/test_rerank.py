@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import rerank
+from waymark.plans import reranking
+from waymark.plans.retrieval import FULL, Scene
+from waymark.sources.views import IMAGES_SQL, metres_sql
 
 
 def lattice(t, k, seed):
@@ -75,6 +78,32 @@ def test_smoothing_in_blocks_equals_the_whole_drive(spark, max_frames):
         assert r.on_path == (path[i] == c)
 
 
+def test_drive_speed_is_the_median_of_plausible_steps(spark):
+    deg = 180 / (np.pi * 6_371_000)
+    rows, lat = [], 52.0
+    for i, (gap_s, metres_on) in enumerate([(0, 0), (1, 3), (1, 4), (10, 100), (61, 61), (1, 51), (0, 9), (60, 60)]):
+        lat += metres_on * deg
+        rows.append((i, "a", gap_s * 1000 + (rows[-1][2] if rows else 1_000_000), lat, 8.0))
+    rows += [(20, "b", 1_000_000, 52.0, 8.0), (21, None, 1_001_000, 52.0, 8.0), (22, None, 1_002_000, 52.0, 8.0), (23, "c", None, 52.0, 8.0), (24, "c", 1_000_000, 52.0, 8.0)]
+    images = spark.createDataFrame(rows, "image_id long, sequence_id string, captured_at long, lat double, lon double")
+    assert rerank.drive_speed(images) == pytest.approx((3 + 4) / 2, abs=1e-6)  # of 1, 3, 4 and 10
+    with pytest.raises(ValueError):
+        rerank.drive_speed(images.where("sequence_id = 'b'"))
+
+
+def test_the_query_takes_its_speed_from_the_database(spark, small, duck):
+    steps = f"""with {IMAGES_SQL}, f as (select *, lag(captured_at) over w as t0, lag(lat) over w as lat0, lag(lon) over w as lon0 from m
+  where split = 'database' and placed and captured_at is not null and sequence_id is not null window w as (partition by sequence_id order by captured_at, image_id)),
+v as (select captured_at - t0 as dt, {metres_sql("lat0", "lon0", "lat", "lon")} / ((captured_at - t0) / 1000.0) as speed from f where captured_at > t0)
+select median(speed) from v where dt <= 60000 and speed <= 50"""
+    speed = duck.execute(steps).fetchone()[0]
+    hits, positions = Scene(spark, small, FULL).hits, reranking._positions(spark, small)
+    key = lambda df: {(r.query_id, r.ref_id): (r.rank, round(r.posterior, 6)) for r in df.collect()}
+    out = key(reranking.r2_hmm(spark, small))
+    assert out == key(rerank.hmm_smoothing(hits, positions, speed=speed))
+    assert out != key(rerank.hmm_smoothing(hits, positions, speed=8.0))
+
+
 def lists(spark, rows):
     return spark.createDataFrame(rows, "query_id long, rank long, ref_id long, sim double")
 

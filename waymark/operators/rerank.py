@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.operators import skew
+from waymark.operators.quantiles import exact_quantiles
 from waymark.sources.staging import stage
 
 
@@ -145,6 +147,20 @@ def _lattice(drive: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray,
     return drive, frame, place, (sim, lat, lon, at)
 
 
+def drive_speed(database: DataFrame, max_gap_s: float = 60.0, max_speed: float = 50.0) -> float:
+    """Median speed in m/s from frame to frame of the sequences of ``database``, exactly.
+
+    ``database`` has ``image_id, sequence_id, captured_at, lat, lon``. Longer gaps and
+    greater speeds don't count; without any speed left there is nothing to estimate from.
+    """
+    steps = skew.frames(database.where("captured_at is not null").select("image_id", "sequence_id", "captured_at", "lat", "lon"))
+    speeds = stage(steps.where((F.col("gap_ms") <= 1000 * max_gap_s) & (F.col("speed_ms") <= max_speed)).select("speed_ms"), "speeds")
+    median = exact_quantiles(speeds, "speed_ms", [0.5])[0]
+    if median is None:
+        raise ValueError("no consecutive frames with a plausible speed; give the speed by hand")
+    return median
+
+
 _LINK = "chain string, block long, first_at double, first_lat array<double>, first_lon array<double>, emit array<double>, last_at double, last_lat array<double>, last_lon array<double>, sums array<double>, tops array<double>"
 _BOUNDARY = "chain string, block long, forward array<double>, enter array<double>, backward array<double>, leave long"
 

@@ -42,7 +42,10 @@ def r1_sequence_aggregation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r2_hmm")
 def r2_hmm(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.hmm_smoothing(Scene(spark, d, FULL).hits, _positions(spark, d))
+    """The drives' speed is the median over the database frames."""
+    s = Scene(spark, d, FULL)
+    speed = rerank.drive_speed(evaluation.references_of(s.images))
+    return rerank.hmm_smoothing(s.hits, _positions(spark, d), speed=speed)
 
 
 @query("r3_twin_rerank", f"with {HF} select query_id, ref_id, row_number() over (partition by query_id order by {_TWIN}, rank) as rank, {_TWIN} as is_twin from h")
