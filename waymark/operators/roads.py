@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS_M, bearing, haversine
 from waymark.operators.nearby import near_pairs
+from waymark.sources.staging import stage
 
 
 def segments(edges: DataFrame) -> DataFrame:
@@ -56,9 +57,13 @@ def nearest_edge(points: DataFrame, edges: DataFrame, max_m: float = 50.0, step_
 
 
 def street_coverage(edges: DataFrame, images: DataFrame, radius_m: float = 25.0, step_m: float = 20.0) -> DataFrame:
-    """Per road class the length and the share of it with an image within ``radius_m``."""
-    pieces = segments(edges)
-    marks = samples(pieces, step_m).select(F.concat_ws("#", "segment_id", F.col("i").cast("string")).alias("image_id"), "segment_id", "lat", "lon")
+    """Per road class the length and the share of it with an image within ``radius_m``.
+
+    Segments and samples are staged, so that the planner knows how many came out of few edges
+    and doesn't broadcast them.
+    """
+    pieces = stage(segments(edges), "segments")
+    marks = stage(samples(pieces, step_m).select(F.concat_ws("#", "segment_id", F.col("i").cast("string")).alias("image_id"), "segment_id", "lat", "lon"), "samples")
     seen = near_pairs(marks, images, radius_m).select(F.col("left_id").alias("image_id")).distinct().withColumn("seen", F.lit(1))
     per = marks.join(seen, "image_id", "left").groupBy("segment_id").agg((F.count("seen") / F.count("*")).alias("covered"))
     rows = pieces.join(per, "segment_id")

@@ -157,7 +157,8 @@ def a16_road_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a26_street_coverage")
 def a26_street_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return roads.street_coverage(_edges(spark, d), views.images(spark, d, "lat", "lon"), 25.0, 100.0)
+    """Samples no further apart than the radius, so every point of a street is near one."""
+    return roads.street_coverage(_edges(spark, d), views.images(spark, d, "lat", "lon"), 25.0, 25.0)
 
 
 @query("g8_facing")
