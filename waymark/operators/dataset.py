@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.functions.geo import haversine
+from waymark.operators.evaluation import dense_positions
 from waymark.operators.nearby import near_pairs
+from waymark.sources.staging import stage
 
 #: File names of the split lists, fixed values.
 LIST_FILES = {"train": "train_sequences.txt", "database": "database_sequences.txt", "query": "query_sequences.txt"}
@@ -101,11 +104,40 @@ def triplet_bands(fit: DataFrame, blocked_m: float = 25.0, hard_m: float = 100.0
     return pairs.groupBy(F.col("left_id").alias("image_id")).agg(F.count_if(F.col("d_m") <= blocked_m).alias("n_blocked"), F.count_if(F.col("d_m") > blocked_m).alias("n_hard"))
 
 
-def hard_negatives(fit: DataFrame, n: int = 1, seed: int = 0, blocked_m: float = 25.0, hard_m: float = 100.0) -> DataFrame:
-    """``n`` hard negatives per anchor, drawn by a seeded hash of both ids."""
-    ring = near_pairs(fit, fit, hard_m).where(F.col("d_m") > blocked_m)
+def hard_negatives(fit: DataFrame, n: int = 1, seed: int = 0, blocked_m: float = 25.0, hard_m: float = 100.0, hard_share: float = 0.75, tries: int = 32) -> DataFrame:
+    """``n`` negatives per anchor, hard ones with probability ``hard_share``, else easy ones.
+
+    Hard negatives come from the ring, in the order of a seeded hash of both ids, again from
+    its start if it has fewer than asked for. Easy ones are any image that isn't blocked, found
+    by up to ``tries`` seeded throws at all of ``fit``; anchors with an empty ring have only these.
+    If every throw is blocked the ring helps out, and without one there is an error.
+    """
+    ring = near_pairs(fit, fit, hard_m).where((F.col("d_m") > blocked_m) & (F.col("left_id") != F.col("right_id")))
     w = Window.partitionBy("left_id").orderBy(F.xxhash64("left_id", "right_id", F.lit(seed)), "right_id")
-    return ring.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select(F.col("left_id").alias("anchor_id"), F.col("right_id").alias("negative_id"), "d_m")
+    first = ring.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).groupBy(F.col("left_id").alias("anchor_id")).agg(F.sort_array(F.collect_list(F.struct("nth", "right_id", "d_m"))).alias("ring"))
+    slots = fit.select(F.col("image_id").alias("anchor_id"), "lat", "lon", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot")).join(first, "anchor_id", "left")
+    hard = F.when(F.col("ring").isNotNull(), F.get("ring", F.pmod(F.col("slot") - 1, F.size("ring"))))
+    u = F.pmod(F.xxhash64("anchor_id", "slot", F.lit(seed), F.lit("hard")), F.lit(1 << 52)) / float(1 << 52)
+    slots = stage(slots.select("anchor_id", "slot", "lat", "lon", hard.alias("hard"), (F.col("ring").isNotNull() & (u < hard_share)).alias("is_hard")), "slots")
+    from_ring = [F.col("anchor_id"), F.col("hard.right_id").alias("negative_id"), F.col("hard.d_m").alias("d_m")]
+    rows, left = slots.where("is_hard").select(*from_ring), slots.where("not is_hard")
+
+    places = stage(dense_positions(fit.select("image_id", "lat", "lon"), "image_id"), "places")
+    size = places.count()
+    # Few throws are blocked, so the second round is small.
+    for low, high in ((1, min(2, tries)), (3, tries)):
+        if low > high or left.isEmpty():
+            continue
+        thrown = left.select("anchor_id", "slot", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("nth"))
+        thrown = thrown.withColumn("pos", F.pmod(F.xxhash64("anchor_id", "slot", "nth", F.lit(seed)), F.lit(size)))
+        met = thrown.join(places, "pos").withColumn("d_m", haversine("a_lat", "a_lon", "lat", "lon")).where((F.col("d_m") > blocked_m) & (F.col("image_id") != F.col("anchor_id")))
+        easy = stage(met.groupBy("anchor_id", "slot").agg(F.min(F.struct("nth", "image_id", "d_m")).alias("b")), "easy")
+        rows = rows.unionByName(easy.select("anchor_id", F.col("b.image_id").alias("negative_id"), F.col("b.d_m").alias("d_m")))
+        left = stage(left.join(easy, ["anchor_id", "slot"], "left_anti"), "left")
+    bare = left.where("hard is null").select("anchor_id").first()
+    if bare is not None:
+        raise ValueError(f"no negative for anchor {bare[0]}: every throw is blocked and its ring is empty")
+    return rows.unionByName(left.select(*from_ring))
 
 
 def random_split(images: DataFrame, proportions: dict[str, float], seed: int = 0) -> DataFrame:
