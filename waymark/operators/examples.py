@@ -12,24 +12,30 @@ from pyspark.sql.window import Window
 from waymark.functions.geo import local_xy
 from waymark.operators.nearby import near_pairs
 from waymark.operators.roads import faces
+from waymark.sources.staging import stage
 
 
-def diverse_examples(candidates: DataFrame, n: int, fields: Sequence[str], order: str, most: int = 5_000) -> list[dict]:
+def diverse_examples(candidates: DataFrame, n: int, fields: Sequence[str], order: str) -> list[dict]:
     """Up to ``n`` rows, each time the one that brings most new values of ``fields``.
 
-    Greedy choice is sequential, so it runs on the driver over the first ``most`` rows by
-    ``order``, which is the feature's documented bound. Ties go to the earlier row.
+    Greedy choice is sequential, so it takes ``n`` steps, each a distributed search over all
+    candidates; the driver sees only the chosen rows. Ties go to the earlier row by ``order``.
     """
-    rows = [r.asDict() for r in candidates.orderBy(order).limit(most).collect()]
-    seen: dict[str, set] = {f: set() for f in fields}
+    rows = stage(candidates.withColumn("_row", F.monotonically_increasing_id()), "candidates")
     chosen: list[dict] = []
-    while rows and len(chosen) < n:
-        gains = [sum(r[f] not in seen[f] for f in fields) for r in rows]
-        best = rows.pop(int(np.argmax(gains)))
-        chosen.append(best)
+    while len(chosen) < n:
+        gain = F.lit(0)
         for f in fields:
-            seen[f].add(best[f])
-    return chosen
+            known = F.lit(False)
+            for value in {r[f] for r in chosen}:
+                known = known | F.col(f).eqNullSafe(F.lit(value))
+            gain = gain + F.when(known, 0).otherwise(1)
+        left = rows.where(~F.col("_row").isin([r["_row"] for r in chosen])) if chosen else rows
+        best = left.orderBy(gain.desc(), order, "_row").first()
+        if best is None:
+            break
+        chosen.append(best.asDict())
+    return [{c: r[c] for c in candidates.columns} for r in chosen]
 
 
 def scenes(cameras: DataFrame, targets: DataFrame, max_m: float = 80.0, within: float = 25.0, least_m: float = 15.0) -> DataFrame:
