@@ -147,7 +147,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 
 def scan(model: Model, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the ``keep`` best codes for each query by summed integer tables."""
+    """Positions of the ``keep`` best codes for each query by summed integer tables, of equal sums the smaller ones."""
     n, m = codes.shape
     if n <= keep:
         return np.broadcast_to(np.arange(n), (len(queries), n))
@@ -162,7 +162,10 @@ def scan(model: Model, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.
     for j in range(pairs.shape[1]):
         both = (tables[:, 2 * j, :, None] + tables[:, 2 * j + 1, None, :]).reshape(len(queries), -1)
         sums += np.take(both, pairs[:, j], axis=1)
-    return np.argpartition(sums, n - keep, axis=1)[:, n - keep :]
+    # The position is part of the key, for positions follow the ids and ties go to the smaller id.
+    wide = np.uint32 if n <= 1 << 16 else np.uint64
+    keys = (sums.astype(wide) << wide(16 if n <= 1 << 16 else 32)) | np.arange(n - 1, -1, -1, dtype=wide)
+    return np.argpartition(keys, n - keep, axis=1)[:, n - keep :]
 
 
 def _searcher(shared, dim: int, k: int):
