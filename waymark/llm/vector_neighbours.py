@@ -1,20 +1,28 @@
 """Problem 6: the most similar vectors of every vector.
 
-Score-aware anisotropic quantisation: unit vectors are split into 32 subspaces of a
-coarse list's residual, 16 codewords each, and codes are chosen so that the error along
-the vector itself, which is what changes an inner product, weighs more than the error
-across it. A query scans the four-bit codes of the lists it probes through small integer
-tables, and the best of each list are scored again exactly in double precision.
+Vectors go into overlapping blocks: each lies in the block of its best centroid and in
+every other block that is hardly further away, so that two neighbours meet in at least
+one block though each vector is sent to a few blocks only (``copies`` on average). Within
+a block every vector is a query and part of the index at once: the block is cut into
+small lists, and a query scans the lists next to its own.
+
+The scan is score-aware anisotropic quantisation: the residual to a list's centroid is
+turned onto the axes that hold its energy and split into subspaces of two axes, 16
+codewords (four bits) each. Codes are chosen so that the error along the vector itself,
+which is what changes an inner product, weighs more than the error across it. Scores are
+sums of small integer tables, one row of queries per code, and the best ``keep`` of each
+query are scored again exactly in double precision.
 
 The model is fitted on a bounded sample (``SAMPLE_ROWS``); every vector is indexed. Copies
 of one vector form a class of which only the k + 1 smallest ids are indexed, which is all
-that ties can ever let through; the other copies take over their class's list. Lists are
-worked on in blocks of bounded size, so neither a crowded list nor a crowd of copies
-becomes one task.
+that ties can ever let through; the other copies take over their class's list. A block of
+more than ``SPLIT_ROWS`` vectors is cut into a grid of parts, so neither a crowded block
+nor a crowd of copies becomes one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,63 +33,61 @@ from pyspark.sql.window import Window
 
 from waymark.sources.staging import stage
 
-#: Most vectors the model is fitted on, chosen by a hash of the id.
+#: Vectors the codebooks are fitted on, chosen by a hash of the id. Block centroids take 32 for each block if that is more, 131,072 at most.
 SAMPLE_ROWS = 20_000
-#: Vectors a coarse list should hold, and most lists there are.
-LIST_ROWS, MAX_LISTS = 1_600, 4096
-#: Codewords of a subspace (four bits).
-CODES = 16
-#: Candidates of a list that are scored exactly, in multiples of k + 1: in the best list,
-#: in those up to the fourth, and in the rest of the probes.
-KEEP = ((1, 20), (4, 8), (1 << 30, 5))
-#: Vectors and queries of one block of a list.
-BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 16_384
+#: Vectors that a block is the best block of, and most blocks there are; beyond that blocks grow and are split.
+BLOCK_ROWS, MAX_BLOCKS = 12_000, 4096
+#: Blocks a vector is sent to on average.
+COPIES = 2.5
+#: Vectors of a list within a block, and lists a query scans.
+LIST_ROWS, PROBES = 64, 192
+#: Candidates of a block that are scored exactly, in multiples of k + 1.
+KEEP = 8
+#: Vectors of a block beyond which it is split.
+SPLIT_ROWS = 65_536
+#: Codewords of a subspace (four bits) and axes of one.
+CODES, WIDTH = 16, 2
+#: Queries scanned at a time, and rows of one tile of the scan.
+QUERY_CHUNK, TILE_ROWS = 128, 1024
 #: Inner products below this share of the norm don't matter (fixed value of the published method).
 SCORE_THRESHOLD = 0.2
 
 
 @dataclass
 class Model:
-    """Coarse centroids (lists x dim) and codebooks (subspaces x 16 x width)."""
+    """Block centroids, the axes kept (dim x r), codebooks (subspaces x 16 x width), and how much further a second block may be."""
 
     centroids: np.ndarray
+    axes: np.ndarray
     books: np.ndarray
     weight: float
+    margin: float
 
-    @property
-    def width(self) -> int:
-        return self.books.shape[2]
-
-    def lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` best lists of each unit vector, best first."""
-        n = min(n, len(self.centroids))
-        out = np.zeros((len(x), n), dtype=np.int32)
-        for at in range(0, len(x), 2048):
-            scores = x[at : at + 2048] @ self.centroids.T
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            out[at : at + 2048] = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1, kind="stable"), 1)
-        return out
-
-    def encode(self, x: np.ndarray, home: np.ndarray, rounds: int = 2) -> np.ndarray:
+    def blocks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and block of every block that the unit vectors ``x`` are sent to."""
+        angle = np.arccos(np.clip(x @ self.centroids.T, -1.0, 1.0))
+        return np.nonzero(angle <= angle.min(axis=1, keepdims=True) + self.margin)
+
+    def encode(self, x: np.ndarray, centres: np.ndarray, home: np.ndarray, rounds: int = 1) -> np.ndarray:
         """Codes (n x subspaces) that minimise |r|^2 + (weight - 1) (r.x)^2 by coordinate descent."""
-        residual = (x - self.centroids[home]).reshape(len(x), -1, self.width)
-        parts = x.reshape(residual.shape)
+        parts = (x @ self.axes).reshape(len(x), -1, WIDTH)
+        residual = parts - (centres @ self.axes)[home].reshape(parts.shape)
         return _codes(residual, parts, self.books, self.weight, rounds)
 
 
 def _codes(residual: np.ndarray, parts: np.ndarray, books: np.ndarray, weight: float, rounds: int) -> np.ndarray:
-    n, m, _ = residual.shape
-    error = np.stack([((residual[:, j, None, :] - books[j][None]) ** 2).sum(-1) for j in range(m)], 1)
-    along = np.stack([(residual[:, j] * parts[:, j]).sum(-1)[:, None] - parts[:, j] @ books[j].T for j in range(m)], 1)
+    m, n = residual.shape[1], len(residual)
+    error = np.stack([(books[j] ** 2).sum(-1) - 2 * residual[:, j] @ books[j].T for j in range(m)])
+    along = np.stack([(residual[:, j] * parts[:, j]).sum(-1)[:, None] - parts[:, j] @ books[j].T for j in range(m)])
     codes = error.argmin(-1)
-    total = np.take_along_axis(along, codes[..., None], 2)[..., 0].sum(1)
     rows = np.arange(n)
+    total = sum(along[j, rows, codes[j]] for j in range(m))
     for _ in range(rounds):
         for j in range(m):
-            rest = total - along[rows, j, codes[:, j]]
-            codes[:, j] = (error[:, j] + (weight - 1) * (rest[:, None] + along[:, j]) ** 2).argmin(1)
-            total = rest + along[rows, j, codes[:, j]]
-    return codes
+            rest = total - along[j, rows, codes[j]]
+            codes[j] = (error[j] + (weight - 1) * (rest[:, None] + along[j]) ** 2).argmin(1)
+            total = rest + along[j, rows, codes[j]]
+    return codes.T
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, penalty: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +105,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> n
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
         home, score = _nearest(x, centres, 0.0 if spherical else 0.5 * (centres**2).sum(1))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, x)
         counts = np.bincount(home, minlength=k)
         used = counts > 0
-        centres[used] = sums[used] / counts[used, None]
+        order = np.argsort(home, kind="stable")
+        sums = np.add.reduceat(x[order], (np.cumsum(counts) - counts)[used], axis=0)
+        centres[used] = sums / counts[used, None]
         if (~used).any():  # an empty centre moves to a vector that fits badly
             centres[~used] = x[np.argsort(score)[: (~used).sum()]] if (~used).sum() <= len(x) else x[rng.choice(len(x), (~used).sum())]
         if spherical:
@@ -111,23 +117,40 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> n
     return centres
 
 
-def fit(sample: np.ndarray, n_lists: int, subspaces: int, rounds: int = 3, seed: int = 7) -> Model:
-    """Fit coarse lists and anisotropic codebooks on unit vectors."""
+def _axes(residual: np.ndarray, energy: float) -> np.ndarray:
+    """The principal axes that hold ``energy`` of the residuals, each strong one beside a weak one; zeros fill up to a multiple of 4."""
+    value, vector = np.linalg.eigh(residual.T.astype(np.float64) @ residual)
+    value, vector = np.maximum(value[::-1], 0.0), vector[:, ::-1]
+    kept = min(1 + int(np.searchsorted(np.cumsum(value), energy * value.sum())), len(value))
+    full = -(-kept // (2 * WIDTH)) * 2 * WIDTH
+    axes = np.zeros((len(value), full), dtype=np.float32)
+    axes[:, : min(full, len(value))] = vector[:, :full]
+    half = np.arange(full // 2)
+    return axes[:, np.stack([half, full - 1 - half], 1).ravel()]
+
+
+def fit(sample: np.ndarray, n_blocks: int, copies: float = COPIES, list_rows: int = LIST_ROWS, rounds: int = 2, seed: int = 7, energy: float = 0.995, book_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit block centroids and anisotropic codebooks on unit vectors; the codebooks need no more than ``book_rows`` of them."""
     x = sample.astype(np.float32)
     dim = x.shape[1]
-    centroids = _kmeans(x, n_lists, 8, seed, spherical=True)
-    home = _nearest(x, centroids, 0.0)[0]
+    centroids = _kmeans(x, n_blocks, 12, seed, spherical=True)
+    angle = np.sort(np.arccos(np.clip(x @ centroids.T, -1.0, 1.0)), axis=1)
+    margin = float(np.quantile(angle - angle[:, :1], min(1.0, copies / n_blocks))) if copies < n_blocks else 10.0
+    x = x[:book_rows]
+    lists = _kmeans(x, max(1, len(x) // list_rows), 4, seed, spherical=True)
+    home = _nearest(x, lists, 0.0)[0]
     t2 = SCORE_THRESHOLD**2
     weight = max(1.0, (dim - 1) * t2 / (1 - t2))
-    residual = (x - centroids[home]).reshape(len(x), subspaces, -1)
-    parts = x.reshape(residual.shape)
-    books = np.stack([_kmeans(residual[:, j], CODES, 8, seed + j, spherical=False) for j in range(subspaces)])
+    axes = _axes(x - lists[home], energy)
+    parts = (x @ axes).reshape(len(x), -1, WIDTH)
+    residual = parts - (lists @ axes)[home].reshape(parts.shape)
+    books = np.stack([_kmeans(residual[:, j], CODES, 8, seed + j, spherical=False) for j in range(parts.shape[1])])
     for _ in range(rounds):
         codes = _codes(residual, parts, books, weight, 1)
-        left = residual - books[np.arange(subspaces), codes]
+        left = residual - books[np.arange(len(books)), codes]
         along = (left * parts).sum(-1)
         total = along.sum(1)
-        for j in range(subspaces):
+        for j in range(len(books)):
             rest = total - along[:, j]
             p, e = parts[:, j].astype(np.float64), residual[:, j].astype(np.float64)
             outer = np.eye(p.shape[1]) + (weight - 1) * p[:, :, None] * p[:, None, :]
@@ -138,7 +161,7 @@ def fit(sample: np.ndarray, n_lists: int, subspaces: int, rounds: int = 3, seed:
                     books[j, c] = np.linalg.solve(outer[mine].sum(0), wanted[mine].sum(0))
             along[:, j] = ((residual[:, j] - books[j, codes[:, j]]) * parts[:, j]).sum(1)
             total = rest + along[:, j]
-    return Model(centroids, books.astype(np.float32), weight)
+    return Model(centroids, axes, books.astype(np.float32), weight, margin)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -146,85 +169,78 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def scan(model: Model, queries: np.ndarray, codes: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the ``keep`` best codes for each query by summed integer tables, of equal sums the smaller ones."""
-    n, m = codes.shape
-    if n <= keep:
-        return np.broadcast_to(np.arange(n), (len(queries), n))
-    tables = np.einsum("qjw,jcw->qjc", queries.reshape(len(queries), m, -1), model.books)
-    tables -= tables.min(axis=2, keepdims=True)
-    tables *= 255.0 / np.maximum(tables.max(axis=(1, 2), keepdims=True), 1e-12)
-    tables = np.rint(tables).astype(np.uint16)
-    if m % 2:
-        tables, codes = np.concatenate([tables, np.zeros_like(tables[:, :1])], 1), np.concatenate([codes, np.zeros_like(codes[:, :1])], 1)
-    pairs = codes[:, 0::2].astype(np.intp) * CODES + codes[:, 1::2]
-    sums = np.zeros((len(queries), n), dtype=np.uint16)
-    for j in range(pairs.shape[1]):
-        both = (tables[:, 2 * j, :, None] + tables[:, 2 * j + 1, None, :]).reshape(len(queries), -1)
-        sums += np.take(both, pairs[:, j], axis=1)
-    # The position is part of the key, for positions follow the ids and ties go to the smaller id.
-    wide = np.uint32 if n <= 1 << 16 else np.uint64
-    keys = (sums.astype(wide) << wide(16 if n <= 1 << 16 else 32)) | np.arange(n - 1, -1, -1, dtype=wide)
-    return np.argpartition(keys, n - keep, axis=1)[:, n - keep :]
-
-
-def _searcher(shared, dim: int, k: int):
-    def search(table: pa.Table) -> pa.Table:
-        model: Model = shared.value
-        role = table.column("role").to_numpy()
-        ids = table.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
-        base, asks = np.flatnonzero(role == 0), np.flatnonzero(role)
-        empty = {"query": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))}
-        if not len(base) or not len(asks):
-            return pa.table(empty)
-        base = base[np.argsort(ids[base], kind="stable")]
-        x, names = _unit(raw[base]), ids[base]
-        codes = np.frombuffer(b"".join(table.column("code").take(base).to_pylist()), dtype=np.uint8).reshape(len(base), -1)
-        width = min(k, len(base))
-        asks = asks[np.argsort(role[asks], kind="stable")]
-        out_ids, out_sims = [np.zeros((0, width), dtype=np.int64)], [np.zeros((0, width))]
-        above = 0
-        for up_to, times in KEEP:
-            keep = times * k
-            mine = asks[(role[asks] > above) & (role[asks] <= up_to)]
-            above = up_to
-            step = max(1, 4_000_000 // max(len(base), keep * dim))
-            for at in range(0, len(mine), step):
-                q = _unit(raw[mine[at : at + step]])
-                found = np.sort(scan(model, q.astype(np.float32), codes, keep), axis=1)
-                sims = np.round(np.matmul(x[found], q[:, :, None])[..., 0], 9)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :width]
-                out_ids.append(names[np.take_along_axis(found, best, 1)])
-                out_sims.append(np.take_along_axis(sims, best, 1))
-        offsets = pa.array(np.arange(len(asks) + 1, dtype=np.int32) * width)
-        return pa.table({
-            "query": pa.array(ids[asks]),
-            "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out_ids).ravel())),
-            "sims": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out_sims).ravel())),
-        })
-
-    return search
-
-
-def _indexer(shared, probes: int):
-    def index(batches):
-        model: Model = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = batch.column(1)
-            raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
-            x = _unit(raw).astype(np.float32)
-            lists = model.lists(x, probes)
-            codes = model.encode(x, lists[:, 0]).astype(np.uint8)
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * lists.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel()))],
-                names=["id", "vec", "code", "lists"],
-            )
+def scan(tables: np.ndarray, lists: np.ndarray, pairs: np.ndarray, list_of: np.ndarray, keep: int) -> np.ndarray:
+    """Rows of the ``keep`` best codes for each query in order, of equal sums the smaller rows.
 
-    return index
+    ``tables`` (subspaces x 16 x queries) and ``lists`` (lists x queries) hold scores,
+    ``pairs`` (subspaces / 2 x n) two codes in one number each, ``list_of`` the list of each row.
+    """
+    n, many = pairs.shape[1], tables.shape[2]
+    if n <= keep:
+        return np.broadcast_to(np.arange(n), (many, n))
+    low, base = tables.min(axis=1, keepdims=True), lists.min(axis=0)
+    room = (tables - low).max(axis=1).sum(axis=0) + (lists - base).max(axis=0)
+    scale = (65_535 - len(tables) - 1) / np.maximum(room, 1e-12)
+    steps = np.rint((tables - low) * scale).astype(np.uint16)
+    both = (steps[0::2, :, None] + steps[1::2, None]).reshape(-1, CODES * CODES, many)
+    first = np.rint((lists - base) * scale).astype(np.uint16)
+    sums, part = np.empty((many, n), dtype=np.uint16), np.empty((TILE_ROWS, many), dtype=np.uint16)
+    for at in range(0, n, TILE_ROWS):  # a tile stays in the processor's cache
+        tile = np.take(first, list_of[at : at + TILE_ROWS], axis=0)
+        for table, codes in zip(both, pairs[:, at : at + TILE_ROWS]):
+            tile += np.take(table, codes, axis=0, out=part[: len(tile)], mode="clip")
+        sums[:, at : at + TILE_ROWS] = tile.T
+    least = np.partition(sums, n - keep, axis=1)[:, n - keep, None]
+    query, row = np.divmod(np.flatnonzero(sums >= least), n)
+    tied = sums[query, row] == least[query, 0]
+    # Rows follow the ids, so of those that tie with the last the first ones stay.
+    above = np.bincount(query[~tied], minlength=many)
+    ties = np.bincount(query[tied], minlength=many)
+    nth = np.arange(tied.sum()) - np.repeat(np.cumsum(ties) - ties, ties)
+    stays = ~tied
+    stays[tied] = nth < np.repeat(keep - above, ties)
+    return row[stays].reshape(many, keep)
+
+
+def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray, asks: np.ndarray, k: int, probes: int, keep: int, list_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``k`` best rows of ``base`` for each row of ``asks``: queries, ids and similarities, a chunk at a time.
+
+    ``x`` has double unit vectors. Queries that share a home list share the lists they
+    scan, those nearest to any of them.
+    """
+    base = base[np.argsort(ids[base], kind="stable")]
+    names, wanted, single = ids[base], x[base], x.astype(np.float32)
+    indexed = single[base]
+    n_lists = max(1, round(len(base) / list_rows))
+    sample = indexed if len(base) <= 16 * n_lists else indexed[np.random.default_rng(0).choice(len(base), 16 * n_lists, replace=False)]
+    centres = _kmeans(sample, n_lists, 4, 11, spherical=True)
+    list_of = _nearest(indexed, centres, 0.0)[0]
+    codes = np.concatenate([model.encode(indexed[at : at + 4096], centres, list_of[at : at + 4096]) for at in range(0, len(base), 4096)])
+    pairs = (codes[:, 0::2] * CODES + codes[:, 1::2]).T.astype(np.intp)
+    members = np.split(np.argsort(list_of, kind="stable"), np.cumsum(np.bincount(list_of, minlength=n_lists))[:-1])
+    home = _nearest(single[asks], centres, 0.0)[0]
+    asks = asks[np.argsort(home, kind="stable")]
+    counts = np.bincount(home, minlength=n_lists)
+    width, at = min(k, len(base)), 0
+    for count in counts[counts > 0]:
+        for begin in range(at, at + count, QUERY_CHUNK):
+            mine = asks[begin : min(begin + QUERY_CHUNK, at + count)]
+            q = single[mine]
+            near = centres @ q.T
+            if probes < n_lists:
+                lists = np.argpartition(-near.max(axis=1), probes - 1)[:probes]
+                rows = np.sort(np.concatenate([members[i] for i in lists]))
+            else:
+                rows = np.arange(len(base))
+            turned = (q @ model.axes).reshape(len(q), -1, WIDTH)
+            tables = np.matmul(model.books, turned.transpose(1, 2, 0))
+            found = rows[scan(tables, near, pairs[:, rows], list_of[rows], keep)]
+            if found.shape[1] < width:
+                found = np.broadcast_to(np.arange(len(base)), (len(q), len(base)))
+            sims = np.round((wanted[found] * x[mine][:, None]).sum(-1), 9)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+            yield ids[mine], names[np.take_along_axis(found, best, 1)], np.take_along_axis(sims, best, 1)
+        at += count
 
 
 def usable_vectors(vectors: DataFrame, dim: int, id_col: str = "image_id", vec_col: str = "vec") -> DataFrame:
@@ -241,47 +257,114 @@ def usable_vectors(vectors: DataFrame, dim: int, id_col: str = "image_id", vec_c
     return clean.groupBy("id").agg(F.max("vec").alias("vec"))
 
 
-def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", probes: int = 14, subspaces: int = 32, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _sizes(shared):
+    """Counts the rows of every block, a batch at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value.centroids), dtype=np.int64)
+        for x in map(_raw, batches):
+            if len(x):
+                total += np.bincount(shared.value.blocks(_unit(x).astype(np.float32))[1], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["block", "n"])
+
+    return count
+
+
+def _raw(batch: pa.RecordBatch) -> np.ndarray:
+    vectors = batch.column(1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.float32)
+
+
+#: What a vector is in a cell: part of the index, a query, or both.
+BASE, ASK = 1, 2
+
+
+def _sender(shared, parts: np.ndarray):
+    """Sends every vector to its blocks; a block of p > 1 parts is a grid of p x p cells of an index part and a query part."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, ids = _raw(batch), batch.column(0).to_numpy()
+            row, block = shared.value.blocks(_unit(raw).astype(np.float32))
+            p = parts[block]
+            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % p
+            sent = [(row[p == 1], block[p == 1], 0, 0, BASE | ASK)]
+            for many in np.unique(p[p > 1]):
+                mine = np.flatnonzero(p == many)
+                for other in range(many):
+                    same = own[mine] == other
+                    sent.append((row[mine[same]], block[mine[same]], other, other, BASE | ASK))
+                    sent.append((row[mine[~same]], block[mine[~same]], own[mine[~same]], other, BASE))
+                    sent.append((row[mine[~same]], block[mine[~same]], other, own[mine[~same]], ASK))
+            names = [raw[i].tobytes() for i in range(len(raw))]
+            for r, b, v, q, role in sent:
+                if len(r):
+                    cell = (b.astype(np.int64) << 40) + (np.asarray(v, dtype=np.int64) << 20) + q
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell), pa.array(np.full(len(r), role, dtype=np.int8)), pa.array(ids[r]), pa.array([names[i] for i in r], pa.binary())], names=["cell", "role", "id", "vec"]
+                    )
+
+    return send
+
+
+def _searcher(shared, dim: int, k: int, probes: int, keep: int, list_rows: int):
+    def search(table: pa.Table) -> pa.Table:
+        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
+        x = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim))
+        base, asks = np.flatnonzero(role & BASE), np.flatnonzero(role & ASK)
+        done = list(search_block(shared.value, ids, x, base, asks, k, probes, keep, list_rows)) if len(base) and len(asks) else []
+        queries, found, sims = ([d[i] for d in done] for i in range(3))
+        offsets = pa.array(np.concatenate([[0], np.cumsum([m.shape[1] for m in found for _ in m])]).astype(np.int32))
+        flat = lambda parts, kind: pa.array(np.concatenate([m.ravel() for m in parts]) if parts else np.zeros(0), kind)
+        return pa.table({"query": flat(queries, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, flat(found, pa.int64())), "sims": pa.ListArray.from_arrays(offsets, flat(sims, pa.float64()))})
+
+    return search
+
+
+def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS, copies: float = COPIES, probes: int = PROBES, keep: int | None = None, list_rows: int = LIST_ROWS, split_rows: int = SPLIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For every usable vector its ``k`` most similar others: ``<id_col>, indices, similarities``.
 
     Similarity is the cosine in double precision rounded to 9 decimals; ties go to the
     smaller id, and a vector is not its own neighbour. Lists are shorter than ``k`` only if
     there are fewer vectors; a lone vector has an empty list, an empty table no rows.
+    More ``copies``, ``probes`` and ``keep`` find more; with all blocks, lists and
+    candidates (each as great as the number of vectors) the result is exact.
     """
     spark = vectors.sparkSession
-    members = usable_vectors(vectors, dim, id_col, vec_col).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
-    members = stage(members, "vectors")
-    # The filter on the rank limits each class before its shuffle, so a class of copies is no hot task.
-    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
-    leaders = stage(members.withColumn("nth", nth).where(F.col("nth") <= k + 1), "leaders")
+    members = stage(usable_vectors(vectors, dim, id_col, vec_col).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
+    crowded = stage(members.groupBy("h1", "h2").agg(F.count("*").alias("many")).where(F.col("many") > k + 1).select("h1", "h2"), "crowded")
+    leaders = members
+    if crowded.count():
+        # The filter on the rank limits each class before its shuffle, so a class of copies is no hot task.
+        nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+        first = members.join(crowded, ["h1", "h2"], "left_semi").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+        leaders = stage(members.join(crowded, ["h1", "h2"], "left_anti").withColumn("nth", F.lit(0)).unionByName(first), "leaders")
     n = leaders.count()
     if not n:
         return spark.createDataFrame([], f"{id_col} long, indices array<long>, similarities array<double>")
-    drawn = leaders.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).select("vec").toPandas()
-    model = fit(_unit(np.stack(drawn["vec"].to_numpy())), int(min(MAX_LISTS, max(1, round(n / LIST_ROWS)))), subspaces)
-    shared = spark.sparkContext.broadcast(model)
-    indexed = stage(leaders.select("id", "vec").mapInArrow(_indexer(shared, probes), "id long, vec binary, code binary, lists array<int>"), "index")
-
-    sizes = indexed.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("n_base"))
-    asked = indexed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n_asks"))
-    # At most MAX_LISTS rows.
-    blocks = sizes.join(asked, "list").select("list", F.ceil(F.col("n_base") / BLOCK_VECTORS).cast("int").alias("vb"), F.ceil(F.col("n_asks") / BLOCK_QUERIES).cast("int").alias("qb"))
-    own = F.pmod(F.xxhash64("id"), F.col("vb")).cast("int")
-    base = indexed.select(F.col("lists")[0].alias("list"), F.lit(0).alias("role"), "id", "vec", "code").join(F.broadcast(blocks), "list")
-    base = base.select("list", own.alias("v"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "role", "id", "vec", "code")
-    asks = indexed.select(F.posexplode("lists").alias("at", "list"), "id", "vec").select("list", (F.col("at") + 1).alias("role"), "id", "vec", F.lit(None).cast("binary").alias("code")).join(F.broadcast(blocks), "list")
-    asks = asks.select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("q"), "role", "id", "vec", "code")
-    found = base.unionByName(asks).groupBy("list", "v", "q").applyInArrow(_searcher(shared, dim, k + 1), "query long, ids array<long>, sims array<double>")
-
-    # Per query at most probes x blocks short lists are merged.
+    n_blocks = min(MAX_BLOCKS, max(1, round(n / block_rows)))
+    drawn = leaders.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max(sample_rows, 32 * n_blocks)).select("vec").toPandas()
+    shared = spark.sparkContext.broadcast(fit(_unit(np.stack(drawn["vec"].to_numpy())), n_blocks, copies, book_rows=sample_rows))
+    sent = leaders.select("id", "vec")
+    parts = np.ones(n_blocks, dtype=np.int64)
+    for row in sent.mapInArrow(_sizes(shared), "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # at most MAX_BLOCKS rows
+        parts[row["block"]] = max(1, -(-row["n"] // split_rows))
+    cells = sent.mapInArrow(_sender(shared, parts), "cell long, role byte, id long, vec binary")
+    search = _searcher(shared, dim, k + 1, probes, keep or KEEP * (k + 1), list_rows)
+    found = cells.groupBy("cell").applyInArrow(search, "query long, ids array<long>, sims array<double>")
+
+    # Per query a few short lists are merged; whoever was met in two blocks has the same similarity in both.
     pairs = F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("ids").alias("i"))
-    merged = found.select("query", pairs.alias("p")).groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))
-    crowded = members.groupBy("h1", "h2").agg(F.count("*").alias("many")).where(F.col("many") > k + 1).select("h1", "h2")
-    copies = members.select("id", "h1", "h2").join(crowded, ["h1", "h2"]).join(leaders.select("id"), "id", "left_anti")
-    firsts = leaders.where("nth = 1").select(F.col("id").alias("query"), "h1", "h2")
-    spread = copies.join(firsts, ["h1", "h2"]).join(merged, "query").select(F.col("id").alias("query"), "p")
+    merged = found.select("query", pairs.alias("p")).groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, k + 1).alias("p"))
+    if leaders is not members:
+        firsts = leaders.where("nth = 1").select(F.col("id").alias("query"), "h1", "h2")
+        copied = members.select("id", "h1", "h2").join(leaders.select("id"), "id", "left_anti").join(firsts, ["h1", "h2"])
+        merged = stage(merged, "lists")
+        merged = merged.unionByName(copied.join(merged, "query").select(F.col("id").alias("query"), "p"))
     others = F.slice(F.filter("p", lambda x: x["i"] != F.col("query")), 1, k)
-    return merged.unionByName(spread).select(F.col("query").alias(id_col), F.transform(others, lambda x: x["i"]).alias("indices"), F.transform(others, lambda x: -x["s"]).alias("similarities"))
+    return merged.select(F.col("query").alias(id_col), F.transform(others, lambda x: x["i"]).alias("indices"), F.transform(others, lambda x: -x["s"]).alias("similarities"))
 
 
 def neighbour_pairs(lists: DataFrame, id_col: str = "image_id") -> DataFrame:
