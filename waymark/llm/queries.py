@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import cross_split, group_split, leakage, packing, shared_spans, stable_sample, vector_neighbours
+from waymark.sources.staging import stage
 from waymark.sources.tables import metadata, table, trimmed
 
 #: Shares of images for train, database and query.
@@ -39,11 +40,16 @@ def p2_assign(spark: SparkSession, d: str) -> DataFrame:
     return group_split.assign_splits(metadata(spark, d, "sequence_id"), ["sequence_id"], PROPORTIONS).select("sequence_id", "n", "split")
 
 
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return group_split.split_shares(p2_assign(spark, d), PROPORTIONS).withColumn("share", F.round("share", 9))
+
+
 def p2_linked(spark: SparkSession, d: str) -> DataFrame:
     """Sequences that deliveries of one image tie together stay together, too."""
-    rows = table(spark, d, "metadata").select(trimmed("sequence_id").alias("sequence_id"), "image_id")
-    moved = rows.groupBy("image_id").agg(F.min("sequence_id").alias("sequence_id"), F.max("sequence_id").alias("moved_to"))
-    return group_split.assign_splits(moved, ["sequence_id", "moved_to"], PROPORTIONS)
+    rows = stage(table(spark, d, "metadata").select(trimmed("sequence_id").alias("sequence_id"), "image_id").where("sequence_id is not null").distinct(), "deliveries")
+    moved = rows.groupBy("image_id").agg(F.min("sequence_id").alias("low"), F.max("sequence_id").alias("high")).where("low < high").select("image_id", F.col("image_id").alias("moved"))
+    assigned = group_split.assign_splits(rows.join(moved, "image_id", "left"), ["sequence_id", "moved"], PROPORTIONS, seed=0)
+    return assigned.groupBy("sequence_id", "component", "split").agg(F.sum("n").alias("n"))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +98,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_shares(table(spark, d, "documents"))
 
 
+def _rendezvous_sql(component: str, seed: str) -> str:
+    u = lambda s: f"(('0x' || substr(md5({component} || '|{s}|' || {seed}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0"
+    scores = ", ".join(f"{{'score': {w / sum(PROPORTIONS.values())} / -ln({u(s)}), 'name': '{s}'}}" for s, w in sorted(PROPORTIONS.items()))
+    return f"list_max([{scores}]).name"
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
@@ -105,8 +117,24 @@ pairs as (
   from h t join h e on t.creator_id = e.creator_id and e.captured_at between t.captured_at - 1000 and t.captured_at + 1000
   where t.split = 'train' and e.split in ('query', 'database')
     and coalesce(least(abs(t.a - e.a), 360 - abs(t.a - e.a)) <= 30, true))
+"""
+    assigned = f"""with {IMAGES_SQL}, g as (select sequence_id, count(*) as n from m where sequence_id is not null group by 1),
+t as (select sequence_id, n, seed, {_rendezvous_sql("'0:' || sequence_id", "seed")} as split from g, range(128) as r(seed)),
+c as (select seed, split, sum(n) as n from t group by 1, 2),
+w as (select unnest([{", ".join(f"'{s}'" for s in PROPORTIONS)}]) as split, unnest([{", ".join(str(float(w)) for w in PROPORTIONS.values())}]) as wanted),
+e as (select r.seed, round(sum(abs(coalesce(c.n, 0) - wanted * (select sum(n) from g))), 6) as off from range(128) as r(seed) cross join w left join c on c.seed = r.seed and c.split = w.split group by 1),
+a as (select sequence_id, n, split from t where seed = (select seed from e order by off, seed limit 1))
 """
     return {
+        "p2_assign": assigned + "select sequence_id, n, split from a",
+        "p2_shares": assigned + "select w.split, coalesce(sum(a.n), 0)::bigint as n, round(coalesce(sum(a.n), 0) / (select sum(n) from a), 9) as share, wanted from w left join a using (split) group by w.split, wanted",
+        "p2_linked": rf"""with recursive d as (select distinct trim(sequence_id, E' \t\n\r\x0b\x0c') as s, image_id from metadata where sequence_id is not null),
+moved as (select image_id from d group by 1 having count(*) > 1),
+n as (select s, count(*) as n from d group by 1),
+l as (select distinct a.s as a, b.s as b from d a join d b using (image_id) where image_id in (select image_id from moved)),
+r as (select s, s as least from n union select r.s, l.b from r join l on l.a = r.least),
+c as (select s, '0:' || min(least) as component from r group by 1)
+select s as sequence_id, component, {_rendezvous_sql("component", "'0'")} as split, n from c join n using (s)""",
         "p1_found": overlaps + "select least(t, e) as image_id_a, greatest(t, e) as image_id_b from pairs",
         "p1_report": overlaps + "select split, creator_id, count(*) as n_pairs, count(distinct e) as n_eval, count(distinct t) as n_train from pairs group by all",
         "p6_found": """with v as (
