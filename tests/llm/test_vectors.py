@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from waymark.llm.vector_neighbours import Model, _unit, fit, nearest, neighbour_pairs, scan, usable_vectors
+from waymark.llm.vector_neighbours import Model, _unit, best_rows, fit, nearest, neighbour_pairs, scan, usable_vectors
 
 KIND = "image_id long, vec array<float>"
 
@@ -57,7 +57,7 @@ def test_all_blocks_lists_and_candidates_are_exact(spark):
     x = clustered(900, 8, 11)
     x[500:520] = x[0]
     ids = np.random.default_rng(4).permutation(5000)[:900]
-    out = nearest(frame(spark, ids, x), 5, dim=8, block_rows=100, copies=1e9, probes=10**9, keep=10**9, list_rows=16)
+    out = nearest(frame(spark, ids, x), 5, dim=8, block_rows=100, copies=1e9, probes=10**9, keep=10**9, more=10**9, list_rows=16)
     assert {r.image_id: r.indices for r in out.collect()} == brute(ids, x, 5)
 
 
@@ -88,16 +88,18 @@ def test_table_scan_ranks_like_the_codes():
     rng = np.random.default_rng(2)
     tables, lists = rng.normal(size=(4, 16, 5)), rng.normal(size=(3, 5))
     codes, list_of = rng.integers(0, 16, (4, 2500)), rng.integers(0, 3, 2500)
-    got = scan(tables, lists, codes[0::2] * 16 + codes[1::2], list_of, 40)
+    sums, step, zero = scan(tables, lists, codes[0::2] * 16 + codes[1::2], list_of)
+    got = best_rows(sums, 40)
     exact = tables[np.arange(4)[:, None], codes].sum(0) + lists[list_of]
+    assert np.abs(sums * step[:, None] + zero[:, None] - exact.T).max() < 3 * step.max()
     for row, scores in zip(got, exact.T):
         assert list(row) == sorted(set(row)) and len(row) == 40
         assert set(np.argsort(-scores)[:38]) <= set(row)
 
 
 def test_equal_codes_keep_the_smaller_rows():
-    tables = np.ones((2, 16, 3))
-    assert scan(tables, np.ones((1, 3)), np.zeros((1, 90), dtype=np.intp), np.zeros(90, dtype=np.intp), 7).tolist() == [list(range(7))] * 3
+    sums, _, _ = scan(np.ones((2, 16, 3)), np.ones((1, 3)), np.zeros((1, 90), dtype=np.intp), np.zeros(90, dtype=np.intp))
+    assert best_rows(sums, 7).tolist() == [list(range(7))] * 3
 
 
 def test_crowded_blocks_are_split(spark):

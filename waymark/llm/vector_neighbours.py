@@ -41,8 +41,10 @@ BLOCK_ROWS, MAX_BLOCKS = 12_000, 4096
 COPIES = 2.5
 #: Vectors of a list within a block, and lists a query scans.
 LIST_ROWS, PROBES = 64, 192
-#: Candidates of a block that are scored exactly, in multiples of k + 1.
-KEEP = 8
+#: Candidates of a block that are scored exactly, in multiples of k + 1: at first, and where a code that was left out might still belong.
+KEEP, MORE = 3, 16
+#: Standard deviations of the codes' error by which a code left out must lie below the last neighbour found.
+DOUBT = 3.0
 #: Vectors of a block beyond which it is split.
 SPLIT_ROWS = 65_536
 #: Codewords of a subspace (four bits) and axes of one.
@@ -169,27 +171,33 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def scan(tables: np.ndarray, lists: np.ndarray, pairs: np.ndarray, list_of: np.ndarray, keep: int) -> np.ndarray:
-    """Rows of the ``keep`` best codes for each query in order, of equal sums the smaller rows.
+def scan(tables: np.ndarray, lists: np.ndarray, pairs: np.ndarray, list_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores (queries x n) as small integers, and the step and the zero of each query's scale.
 
     ``tables`` (subspaces x 16 x queries) and ``lists`` (lists x queries) hold scores,
     ``pairs`` (subspaces / 2 x n) two codes in one number each, ``list_of`` the list of each row.
     """
     n, many = pairs.shape[1], tables.shape[2]
-    if n <= keep:
-        return np.broadcast_to(np.arange(n), (many, n))
     low, base = tables.min(axis=1, keepdims=True), lists.min(axis=0)
     room = (tables - low).max(axis=1).sum(axis=0) + (lists - base).max(axis=0)
-    scale = (65_535 - len(tables) - 1) / np.maximum(room, 1e-12)
-    steps = np.rint((tables - low) * scale).astype(np.uint16)
+    step = np.maximum(room, 1e-12) / (65_535 - len(tables) - 1)
+    steps = np.rint((tables - low) / step).astype(np.uint16)
     both = (steps[0::2, :, None] + steps[1::2, None]).reshape(-1, CODES * CODES, many)
-    first = np.rint((lists - base) * scale).astype(np.uint16)
+    first = np.rint((lists - base) / step).astype(np.uint16)
     sums, part = np.empty((many, n), dtype=np.uint16), np.empty((TILE_ROWS, many), dtype=np.uint16)
     for at in range(0, n, TILE_ROWS):  # a tile stays in the processor's cache
         tile = np.take(first, list_of[at : at + TILE_ROWS], axis=0)
         for table, codes in zip(both, pairs[:, at : at + TILE_ROWS]):
             tile += np.take(table, codes, axis=0, out=part[: len(tile)], mode="clip")
         sums[:, at : at + TILE_ROWS] = tile.T
+    return sums, step, low.sum(axis=(0, 1)) + base
+
+
+def best_rows(sums: np.ndarray, keep: int) -> np.ndarray:
+    """Rows of the ``keep`` greatest sums of each query in order, of equal sums the smaller rows."""
+    many, n = sums.shape
+    if n <= keep:
+        return np.broadcast_to(np.arange(n), (many, n))
     least = np.partition(sums, n - keep, axis=1)[:, n - keep, None]
     query, row = np.divmod(np.flatnonzero(sums >= least), n)
     tied = sums[query, row] == least[query, 0]
@@ -202,11 +210,12 @@ def scan(tables: np.ndarray, lists: np.ndarray, pairs: np.ndarray, list_of: np.n
     return row[stays].reshape(many, keep)
 
 
-def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray, asks: np.ndarray, k: int, probes: int, keep: int, list_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray, asks: np.ndarray, k: int, probes: int, keep: int, more: int, list_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The ``k`` best rows of ``base`` for each row of ``asks``: queries, ids and similarities, a chunk at a time.
 
     ``x`` has double unit vectors. Queries that share a home list share the lists they
-    scan, those nearest to any of them.
+    scan, those nearest to any of them. ``keep`` candidates are scored exactly, and ``more``
+    where the best code left out lies within ``DOUBT`` deviations of the last neighbour.
     """
     base = base[np.argsort(ids[base], kind="stable")]
     names, wanted, single = ids[base], x[base], x.astype(np.float32)
@@ -227,19 +236,28 @@ def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray,
             mine = asks[begin : min(begin + QUERY_CHUNK, at + count)]
             q = single[mine]
             near = centres @ q.T
+            rows = np.arange(len(base))
             if probes < n_lists:
                 lists = np.argpartition(-near.max(axis=1), probes - 1)[:probes]
-                rows = np.sort(np.concatenate([members[i] for i in lists]))
-            else:
-                rows = np.arange(len(base))
+                rows = some if len(some := np.sort(np.concatenate([members[i] for i in lists]))) >= width else rows
             turned = (q @ model.axes).reshape(len(q), -1, WIDTH)
             tables = np.matmul(model.books, turned.transpose(1, 2, 0))
-            found = rows[scan(tables, near, pairs[:, rows], list_of[rows], keep)]
-            if found.shape[1] < width:
-                found = np.broadcast_to(np.arange(len(base)), (len(q), len(base)))
-            sims = np.round((wanted[found] * x[mine][:, None]).sum(-1), 9)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :width]
-            yield ids[mine], names[np.take_along_axis(found, best, 1)], np.take_along_axis(sims, best, 1)
+            sums, step, zero = scan(tables, near, pairs[:, rows], list_of[rows])
+
+            def nearest_of(who: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                scored = sums if len(who) == len(sums) else sums[who]
+                some = best_rows(scored, max(limit, width))
+                exact = np.round((wanted[rows[some]] * x[mine[who]][:, None]).sum(-1), 9)
+                coded = np.take_along_axis(scored, some, 1) * step[who, None] + zero[who, None]
+                best = np.argsort(-exact, axis=1, kind="stable")[:, :width]
+                last = exact[np.arange(len(who)), best[:, -1]]
+                error = exact - coded
+                return rows[np.take_along_axis(some, best, 1)], np.take_along_axis(exact, best, 1), coded.min(axis=1) + error.mean() + DOUBT * error.std() > last
+
+            found, sims, doubtful = nearest_of(np.arange(len(mine)), keep)
+            if more > keep and len(rows) > keep and (again := np.flatnonzero(doubtful)).size:
+                found[again], sims[again], _ = nearest_of(again, more)
+            yield ids[mine], names[found], sims
         at += count
 
 
@@ -309,12 +327,12 @@ def _sender(shared, parts: np.ndarray):
     return send
 
 
-def _searcher(shared, dim: int, k: int, probes: int, keep: int, list_rows: int):
+def _searcher(shared, dim: int, k: int, probes: int, keep: int, more: int, list_rows: int):
     def search(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
         x = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim))
         base, asks = np.flatnonzero(role & BASE), np.flatnonzero(role & ASK)
-        done = list(search_block(shared.value, ids, x, base, asks, k, probes, keep, list_rows)) if len(base) and len(asks) else []
+        done = list(search_block(shared.value, ids, x, base, asks, k, probes, keep, more, list_rows)) if len(base) and len(asks) else []
         queries, found, sims = ([d[i] for d in done] for i in range(3))
         offsets = pa.array(np.concatenate([[0], np.cumsum([m.shape[1] for m in found for _ in m])]).astype(np.int32))
         flat = lambda parts, kind: pa.array(np.concatenate([m.ravel() for m in parts]) if parts else np.zeros(0), kind)
@@ -323,7 +341,7 @@ def _searcher(shared, dim: int, k: int, probes: int, keep: int, list_rows: int):
     return search
 
 
-def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS, copies: float = COPIES, probes: int = PROBES, keep: int | None = None, list_rows: int = LIST_ROWS, split_rows: int = SPLIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS, copies: float = COPIES, probes: int = PROBES, keep: int | None = None, more: int | None = None, list_rows: int = LIST_ROWS, split_rows: int = SPLIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For every usable vector its ``k`` most similar others: ``<id_col>, indices, similarities``.
 
     Similarity is the cosine in double precision rounded to 9 decimals; ties go to the
@@ -352,7 +370,7 @@ def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id",
     for row in sent.mapInArrow(_sizes(shared), "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # at most MAX_BLOCKS rows
         parts[row["block"]] = max(1, -(-row["n"] // split_rows))
     cells = sent.mapInArrow(_sender(shared, parts), "cell long, role byte, id long, vec binary")
-    search = _searcher(shared, dim, k + 1, probes, keep or KEEP * (k + 1), list_rows)
+    search = _searcher(shared, dim, k + 1, probes, keep or KEEP * (k + 1), more or MORE * (k + 1), list_rows)
     found = cells.groupBy("cell").applyInArrow(search, "query long, ids array<long>, sims array<double>")
 
     # Per query a few short lists are merged; whoever was met in two blocks has the same similarity in both.
