@@ -36,15 +36,15 @@ from waymark.sources.staging import stage
 #: Vectors the codebooks are fitted on, chosen by a hash of the id. Block centroids take 32 for each block if that is more, 131,072 at most.
 SAMPLE_ROWS = 20_000
 #: Vectors that a block is the best block of, and most blocks there are; beyond that blocks grow and are split.
-BLOCK_ROWS, MAX_BLOCKS = 12_000, 4096
+BLOCK_ROWS, MAX_BLOCKS = 16_000, 4096
 #: Blocks a vector is sent to on average.
-COPIES = 2.5
+COPIES = 2.25
 #: Vectors of a list within a block, and lists a query scans.
 LIST_ROWS, PROBES = 64, 192
 #: Candidates of a block that are scored exactly, in multiples of k + 1: at first, and where a code that was left out might still belong.
-KEEP, MORE = 3, 16
+KEEP, MORE = 3, 64
 #: Standard deviations of the codes' error by which a code left out must lie below the last neighbour found.
-DOUBT = 3.0
+DOUBT = 5.0
 #: Vectors of a block beyond which it is split.
 SPLIT_ROWS = 65_536
 #: Codewords of a subspace (four bits) and axes of one.
@@ -210,12 +210,38 @@ def best_rows(sums: np.ndarray, keep: int) -> np.ndarray:
     return row[stays].reshape(many, keep)
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round((a * b).sum(-1), 9)
+
+
+def _settle(who: np.ndarray, sums: np.ndarray, least: np.ndarray, found: np.ndarray, sims: np.ndarray, more: int, exact) -> None:
+    """Scores every row of the queries ``who`` whose sum reaches ``least``, the best ``more`` where more do.
+
+    Whatever was found stays in the running; ``found`` and ``sims`` are changed in place.
+    """
+    many, width = sums.shape[1], found.shape[1]
+    query, row = np.divmod(np.flatnonzero(sums[who] >= np.maximum(least[who], 0)[:, None]), many)
+    counts = np.bincount(query, minlength=len(who))
+    if (counts > more).any():
+        crowd = np.flatnonzero(counts > more)
+        calm = counts[query] <= more
+        query = np.concatenate([query[calm], np.repeat(crowd, min(more, many))])
+        row = np.concatenate([row[calm], best_rows(sums[who[crowd]], more).ravel()])
+    query, row = np.concatenate([query, np.repeat(np.arange(len(who)), width)]), np.concatenate([row, found[who].ravel()])
+    query, row = np.divmod(np.unique(query * many + row), many)
+    score = exact(who[query], row)
+    order = np.lexsort((row, -score, query))
+    counts = np.bincount(query, minlength=len(who))
+    first = order[(np.cumsum(counts) - counts)[:, None] + np.arange(width)]
+    found[who], sims[who] = row[first], score[first]
+
+
 def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray, asks: np.ndarray, k: int, probes: int, keep: int, more: int, list_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The ``k`` best rows of ``base`` for each row of ``asks``: queries, ids and similarities, a chunk at a time.
 
     ``x`` has double unit vectors. Queries that share a home list share the lists they
-    scan, those nearest to any of them. ``keep`` candidates are scored exactly, and ``more``
-    where the best code left out lies within ``DOUBT`` deviations of the last neighbour.
+    scan, those nearest to any of them. ``keep`` candidates are scored exactly, and up
+    to ``more`` where codes left out lie within ``DOUBT`` deviations of the last neighbour.
     """
     base = base[np.argsort(ids[base], kind="stable")]
     names, wanted, single = ids[base], x[base], x.astype(np.float32)
@@ -244,19 +270,17 @@ def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray,
             tables = np.matmul(model.books, turned.transpose(1, 2, 0))
             sums, step, zero = scan(tables, near, pairs[:, rows], list_of[rows])
 
-            def nearest_of(who: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                scored = sums if len(who) == len(sums) else sums[who]
-                some = best_rows(scored, max(limit, width))
-                exact = np.round((wanted[rows[some]] * x[mine[who]][:, None]).sum(-1), 9)
-                coded = np.take_along_axis(scored, some, 1) * step[who, None] + zero[who, None]
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :width]
-                last = exact[np.arange(len(who)), best[:, -1]]
-                error = exact - coded
-                return rows[np.take_along_axis(some, best, 1)], np.take_along_axis(exact, best, 1), coded.min(axis=1) + error.mean() + DOUBT * error.std() > last
-
-            found, sims, doubtful = nearest_of(np.arange(len(mine)), keep)
-            if more > keep and len(rows) > keep and (again := np.flatnonzero(doubtful)).size:
-                found[again], sims[again], _ = nearest_of(again, more)
+            some = best_rows(sums, max(keep, width))
+            exact = _exact(wanted[rows[some]], x[mine][:, None])
+            best = np.argsort(-exact, axis=1, kind="stable")[:, :width]
+            found, sims = np.take_along_axis(some, best, 1), np.take_along_axis(exact, best, 1)
+            coded = np.take_along_axis(sums, some, 1) * step[:, None] + zero[:, None]
+            error = exact - coded
+            least = sims[:, -1] - error.mean() - DOUBT * error.std()
+            open_ = np.flatnonzero(coded.min(axis=1) > least) if len(rows) > keep else np.zeros(0, dtype=np.int64)
+            if open_.size:
+                _settle(open_, sums, np.ceil((least - zero) / step), found, sims, more, lambda who, row: _exact(wanted[rows[row]], x[mine[who]]))
+            found = rows[found]
             yield ids[mine], names[found], sims
         at += count
 
