@@ -1,8 +1,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from waymark.llm.queries import queries
 from waymark.llm.vector_neighbours import Model, _unit, best_rows, fit, nearest, neighbour_pairs, scan, usable_vectors
 
+QUERIES = queries()
 KIND = "image_id long, vec array<float>"
 
 
@@ -32,6 +34,18 @@ def test_recall_against_brute_force(spark):
     assert np.mean([len({*got[i]} & {*want[i]}) / 5 for i in want]) >= 0.9
 
 
+def test_recall_on_the_descriptors_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/descriptors.parquet")
+    rows = usable_vectors(table, 64).toPandas().sort_values("id")
+    ids, x = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy())
+    got = {r.image_id: r.indices for r in nearest(table, 5).collect()}
+    want = brute(ids, x, 5)
+    assert set(got) == set(want)
+    assert np.mean([len({*got[i]} & {*want[i]}) / 5 for i in want]) >= 0.98
+    for name in ("p6_found", "p6_lists"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_copies_and_scaled_copies(spark):
     x = clustered(40, 8, 3)
     rows = np.concatenate([x, np.tile(x[:1], (30, 1)), 2 * x[:1]])

@@ -137,14 +137,5 @@ c as (select s, '0:' || min(least) as component from r group by 1)
 select s as sequence_id, component, {_rendezvous_sql("component", "'0'")} as split, n from c join n using (s)""",
         "p1_found": overlaps + "select least(t, e) as image_id_a, greatest(t, e) as image_id_b from pairs",
         "p1_report": overlaps + "select split, creator_id, count(*) as n_pairs, count(distinct e) as n_eval, count(distinct t) as n_train from pairs group by all",
-        "p6_found": """with v as (
-            select image_id, max(vec) as vec from descriptors where len(vec) = 64 and len(list_filter(vec, lambda x: x is null or isnan(x))) = 0 group by 1),
-          u as (select image_id, vec::double[] as vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) as n from v),
-          w as (select * from u where n > 0),
-          s as (select a.image_id as a, b.image_id as b,
-                  round(list_inner_product(a.vec, b.vec) / (a.n * b.n), 9) as sim
-                from w a join w b on a.image_id <> b.image_id),
-          t as (select a, b from s qualify row_number() over (partition by a order by sim desc, b) <= 5)
-          select distinct least(a, b) as image_id_a, greatest(a, b) as image_id_b from t""",
         "p2_found": f"with {IMAGES_SQL} select sequence_id from m where sequence_id is not null group by 1 having count(distinct split) > 1",
     }

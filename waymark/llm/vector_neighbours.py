@@ -44,7 +44,7 @@ LIST_ROWS, PROBES = 64, 192
 #: Candidates of a block that are scored exactly, in multiples of k + 1: at first, and where a code that was left out might still belong.
 KEEP, MORE = 3, 64
 #: Standard deviations of the codes' error by which a code left out must lie below the last neighbour found.
-DOUBT = 5.0
+DOUBT = 3.0
 #: Vectors of a block beyond which it is split.
 SPLIT_ROWS = 65_536
 #: Codewords of a subspace (four bits) and axes of one.
