@@ -1,32 +1,19 @@
-"""Problem 5: points near other points, and the region that holds a point.
-
-Regions are cut into triangles by ear clipping. Triangles are handed out through a
-bounding-volume hierarchy that is implicit in the coordinates: a node is a cell of a
-grid whose cells halve from level to level, its name follows from the position alone,
-so both sides find their nodes without a tree to build, ship or keep balanced. Points
-meet the triangles of their node by an equi-join and are then tested exactly.
-
-For points near points, the region of a point is the box around its circle: two
-triangles on one row, at the level whose nodes are as high as the circle. Nodes are
-narrowed towards the poles by halving the columns of a row, wrap at the 180th meridian,
-and join at the poles. A point on the diagonal belongs to both triangles and still gives
-one row; the great-circle distance decides in the end.
+"""Radius joins as equi-joins on grid nodes.
+
+A node is a cell as high as the circle; the columns of a row of nodes are halved towards
+the poles, wrap at the 180th meridian, and join at the poles. Its name follows from the
+position alone, so both sides find their nodes without anything to build or ship, and
+columns of both sides can be carried through the join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_RADIUS_M, haversine, usable_position
-from waymark.sources.staging import stage
-
-#: Triangles up to this number are broadcast to the points; more are joined by a shuffle.
-BROADCAST_TRIANGLES = 100_000
 
 
 def _row(lat: Column, height: float) -> Column:
@@ -77,143 +64,6 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, id_col: str =
     a = a.withColumn("column", F.explode(F.sequence(west, east)))
     a = a.select("left_id", "a_lat", "a_lon", "half", *[f"left_{c}" for c in carry], _node(F.col("row"), F.col("column"), F.col("level")).alias("node"))
 
-    # The two triangles of the box share the diagonal u = v; |u|, |v| <= 1 inside.
-    u = (F.pmod(F.col("b_lon") - F.col("a_lon") + 180.0, F.lit(360.0)) - 180.0) / F.col("half")
-    v = (F.col("b_lat") - F.col("a_lat")) / reach
-    lower = (v >= -1.0) & (u <= 1.0) & (v <= u)
-    upper = (u >= -1.0) & (v <= 1.0) & (v >= u)
-    met = a.join(b, "node").where(lower | upper).withColumn("d_m", haversine("a_lat", "a_lon", "b_lat", "b_lon"))
+    inside = (F.abs(F.pmod(F.col("b_lon") - F.col("a_lon") + 180.0, F.lit(360.0)) - 180.0) <= F.col("half")) & (F.abs(F.col("b_lat") - F.col("a_lat")) <= reach)
+    met = a.join(b, "node").where(inside).withColumn("d_m", haversine("a_lat", "a_lon", "b_lat", "b_lon"))
     return met.where(F.col("d_m") <= radius_m).select("left_id", "right_id", "d_m", *[f"{side}_{c}" for c in carry for side in ("left", "right")])
-
-
-Point = tuple[float, float]
-
-
-def _turn(a: Point, b: Point, c: Point) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
-def _area(ring: list[Point]) -> float:
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2
-
-
-def _clean(ring, ccw: bool) -> list[Point]:
-    points: list[Point] = []
-    for p in ring or []:
-        if p is None or p[0] is None or p[1] is None or not (math.isfinite(p[0]) and math.isfinite(p[1])):
-            continue
-        if not points or points[-1] != (p[0], p[1]):
-            points.append((p[0], p[1]))
-    if len(points) > 1 and points[0] == points[-1]:
-        points.pop()
-    if len(points) < 3 or _area(points) == 0:
-        return []
-    return points if (_area(points) > 0) == ccw else points[::-1]
-
-
-def _crosses(a: Point, b: Point, c: Point, d: Point) -> bool:
-    if {a, b} & {c, d}:
-        return False
-    return _turn(a, b, c) * _turn(a, b, d) <= 0 and _turn(c, d, a) * _turn(c, d, b) <= 0
-
-
-def _bridge(outline: list[Point], hole: list[Point]) -> list[Point]:
-    """One ring of outline and hole, joined by the shortest segment that crosses neither."""
-    edges = [*zip(outline, outline[1:] + outline[:1]), *zip(hole, hole[1:] + hole[:1])]
-    options = sorted(((math.dist(p, q), i, j) for i, p in enumerate(outline) for j, q in enumerate(hole)), key=lambda o: o[0])
-    for _, i, j in options:
-        if not any(_crosses(outline[i], hole[j], *e) for e in edges):
-            break
-    else:
-        _, i, j = options[0]
-    return outline[: i + 1] + hole[j:] + hole[: j + 1] + outline[i:]
-
-
-def ear_clip(rings) -> list[tuple[Point, Point, Point]]:
-    """Triangles of a polygon: the first ring is the outline, the others are holes.
-
-    Rings may be closed or open and of either direction; null points, repeated points and
-    rings without area are ignored, a polygon without outline has no triangles.
-    """
-    if not rings:
-        return []
-    ring = _clean(rings[0], True)
-    if not ring:
-        return []
-    for hole in sorted((h for h in (_clean(r, False) for r in rings[1:]) if h), key=lambda h: -max(p[0] for p in h)):
-        ring = _bridge(ring, hole)
-    triangles = []
-    while len(ring) > 3:
-        for i in range(len(ring)):
-            a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
-            if _turn(a, b, c) <= 0:
-                continue
-            others = (p for p in ring if p not in (a, b, c))
-            if any(_turn(a, b, p) >= 0 and _turn(b, c, p) >= 0 and _turn(c, a, p) >= 0 for p in others):
-                continue
-            triangles.append((a, b, c))
-            del ring[i]
-            break
-        else:
-            flat = next((i for i in range(len(ring)) if _turn(ring[i - 1], ring[i], ring[(i + 1) % len(ring)]) == 0), None)
-            if flat is None:  # outline crosses itself: no ear is left
-                break
-            del ring[flat]
-    if len(ring) == 3 and _turn(*ring) > 0:
-        triangles.append(tuple(ring))
-    return triangles
-
-
-def _triangulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["region", "rank_", "ax", "ay", "bx", "by", "cx", "cy"]
-    types = [pa.int64()] + [pa.float64()] * 7
-    for batch in batches:
-        rows = []
-        for region, rank, rings in zip(*(c.to_pylist() for c in batch.columns)):
-            rings = [None if r is None else [None if p is None else (p["lon"], p["lat"]) for p in r] for r in rings]
-            rows += [(region, rank, *a, *b, *c) for a, b, c in ear_clip(rings)]
-        columns = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
-
-
-def triangles(regions: DataFrame, id_col: str = "district_id", rank_col: str = "area_km2") -> DataFrame:
-    """Triangles of all regions with their level in the hierarchy and every node they touch."""
-    rows = regions.select(F.col(id_col).cast("long").alias("region"), F.col(rank_col).cast("double").alias("rank_"), "rings").where("region is not null and rings is not null")
-    cut = rows.mapInArrow(_triangulate, "region long, rank_ double, ax double, ay double, bx double, by double, cx double, cy double")
-    x0, x1 = F.least("ax", "bx", "cx"), F.greatest("ax", "bx", "cx")
-    y0, y1 = F.least("ay", "by", "cy"), F.greatest("ay", "by", "cy")
-    size = F.greatest(x1 - x0, y1 - y0, F.lit(1e-7))
-    level = F.greatest(F.floor(F.log2(360.0 / size)), F.lit(0)).cast("int")
-    cut = cut.withColumn("level", level)
-    span = F.pow(F.lit(2.0), F.col("level")) / 360.0
-    cut = cut.withColumn("i", F.explode(F.sequence(F.floor((x0 + 180.0) * span), F.floor((x1 + 180.0) * span))))
-    return cut.withColumn("j", F.explode(F.sequence(F.floor((y0 + 180.0) * span), F.floor((y1 + 180.0) * span))))
-
-
-def containing_region(points: DataFrame, regions: DataFrame, id_col: str = "image_id", region_col: str = "district_id", rank_col: str = "area_km2") -> DataFrame:
-    """For each point the region that covers it: ``<id_col>, <region_col>``.
-
-    Boundaries count as covered, edges of holes too. Where regions overlap, the least
-    ``rank_col`` wins (null last), then the least id, so a point on an edge that two
-    triangles or two regions share comes out once. Points in no region or without a usable
-    position have a null region. ``<id_col>`` is unique per row.
-    """
-    parts = stage(triangles(regions, region_col, rank_col), "triangles")
-    n = parts.count()
-    levels = sorted(r["level"] for r in parts.select("level").distinct().collect())  # at most one per bit
-    here = points.where(usable_position()).select(F.col(id_col).alias("id"), "lat", "lon")
-    if levels:
-        here = here.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    else:
-        here = here.withColumn("level", F.lit(-1))
-    span = F.pow(F.lit(2.0), F.col("level")) / 360.0
-    here = here.withColumn("i", F.floor((F.col("lon") + 180.0) * span)).withColumn("j", F.floor((F.col("lat") + 180.0) * span))
-    met = here.join(F.broadcast(parts) if n <= BROADCAST_TRIANGLES else parts, ["level", "i", "j"])
-
-    def side(ax: str, ay: str, bx: str, by: str) -> Column:
-        return (F.col(bx) - F.col(ax)) * (F.col("lat") - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col("lon") - F.col(ax))
-
-    inside = (side("ax", "ay", "bx", "by") >= 0) & (side("bx", "by", "cx", "cy") >= 0) & (side("cx", "cy", "ax", "ay") >= 0)
-    best = F.min(F.struct(F.coalesce("rank_", F.lit(float("inf"))).alias("r"), "region")).alias("best")
-    found = met.where(inside).groupBy("id").agg(best).select(F.col("id").alias(id_col), F.col("best.region").alias(region_col))
-    return points.select(id_col).join(found, id_col, "left")

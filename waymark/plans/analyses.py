@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
-from waymark.operators import analysis, evaluation, nearby
+from waymark.operators import analysis, evaluation, hierarchy
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import FULL, Scene, near_sql
 from waymark.sources.staging import stage
@@ -85,7 +85,7 @@ from w where q_region <> r_region group by 1, 2 order by n desc, q_region, r_reg
 )
 def a14_confusion_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = Scene(spark, d, FULL)
-    where = nearby.containing_region(s.images.where("placed"), table(spark, d, "districts"))
+    where = hierarchy.containing_region(s.images.where("placed"), table(spark, d, "districts"))
     wrong = s.hits.where("rank = 1 and d_m > 25")
     wrong = wrong.join(where.select(F.col("image_id").alias("query_id"), F.col("district_id").alias("q_region")), "query_id", "left")
     wrong = wrong.join(where.select(F.col("image_id").alias("ref_id"), F.col("district_id").alias("r_region")), "ref_id", "left")
@@ -105,7 +105,7 @@ def a13_district_table(spark: SparkSession, d: str) -> DataFrame:
     """Queries, solvable queries and R@1 per district; queries in none form the row with a null id."""
     s = Scene(spark, d, FULL)
     flags = evaluation.per_query(s.queries, s.near(25.0), s.hits, thresholds=(25.0,)).withColumnRenamed("query_id", "image_id")
-    where = nearby.containing_region(s.queries, table(spark, d, "districts"))
+    where = hierarchy.containing_region(s.queries, table(spark, d, "districts"))
     ok = F.col("nearest_m").isNotNull()
     return rounded(
         flags.join(where, "image_id").groupBy("district_id").agg(

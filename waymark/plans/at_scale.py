@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import nearby, skew
+from waymark.operators import hierarchy, skew
 from waymark.plans.analyses import DISTRICT_SQL
 from waymark.sources.staging import stage
 from waymark.sources.tables import metadata, table
@@ -29,13 +29,13 @@ def p3_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    images = metadata(spark, d, "lat", "lon", "split")
-    pairs = nearby.near_pairs(images.where("split = 'query'"), images.where("split = 'database'"), 25.0)
+    images = stage(metadata(spark, d, "lat", "lon", "split").where("split in ('query', 'database')"), "images")
+    pairs = hierarchy.points_in_circles(images.where("split = 'query'"), images.where("split = 'database'"), 25.0)
     return pairs.select(F.least("left_id", "right_id").alias("image_id_a"), F.greatest("left_id", "right_id").alias("image_id_b"))
 
 
 def p5_district(spark: SparkSession, d: str) -> DataFrame:
-    return nearby.containing_region(metadata(spark, d, "lat", "lon"), table(spark, d, "districts"))
+    return hierarchy.containing_region(metadata(spark, d, "lat", "lon"), table(spark, d, "districts"))
 
 
 def queries() -> dict:

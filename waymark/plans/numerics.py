@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import audit, dataset, descriptors, evaluation, search, stats
-from waymark.operators.nearby import containing_region
+from waymark.operators.hierarchy import containing_region
 from waymark.plans.analyses import DISTRICT_SQL, rounded
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import FULL, Scene, near_sql
