@@ -5,7 +5,7 @@ a node whose box is fitted to them, eight nodes share one above, up to the root.
 down from the root, all at once, into every node whose box holds them.
 
 Few triangles are broadcast whole. Otherwise the lower levels are spread over the cluster:
-the curve is cut at quantiles of a bounded sample, each piece gets the box fitted to all of
+the curve is cut at quantiles from a bounded sketch, each piece gets the box fitted to all of
 its items, and the hierarchy over these boxes, which is bounded, sends every point to the
 pieces that may hold it. Crowded pieces become a grid of item parts and point parts. Each
 task then builds the lower levels over its items and tests triangles exactly.
@@ -30,8 +30,8 @@ from waymark.sources.staging import stage
 BROADCAST_TRIANGLES = 100_000
 #: Children of a node.
 FANOUT = 8
-#: Items of a piece of the curve, most pieces, and sampled items that tell where to cut.
-PIECE_ITEMS, MAX_PIECES, SAMPLE_ITEMS = 16_384, 4096, 65_536
+#: Items of a piece of the curve, and most pieces.
+PIECE_ITEMS, MAX_PIECES = 16_384, 4096
 #: Items and points of one task's cell, and points tested at a time.
 CELL_ITEMS, CELL_POINTS, POINT_CHUNK = 65_536, 262_144, 4096
 
@@ -128,8 +128,8 @@ def meet(items: DataFrame, points: DataFrame, kernel: Kernel, schema: str, piece
 
     placed = items.withColumn("at", place((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2))
     pieces = int(min(MAX_PIECES, max(1, round(n / piece_items))))
-    sample = placed.select("at").orderBy(F.xxhash64("at", "item"), "at").limit(SAMPLE_ITEMS).toPandas()["at"].to_numpy() if pieces > 1 else np.zeros(0, np.int64)
-    cuts = np.unique(np.quantile(sample, np.arange(1, pieces) / pieces, method="nearest")) if pieces > 1 else sample
+    fractions = [i / pieces for i in range(1, pieces)]
+    cuts = np.unique(np.array(placed.agg(F.percentile_approx("at", fractions, 10 * pieces)).first()[0] if fractions else [], dtype=np.int64))
 
     @F.pandas_udf("int")
     def piece_of(at: pd.Series) -> pd.Series:
