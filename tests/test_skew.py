@@ -34,6 +34,23 @@ def test_heavy_path_equals_plain_order(spark):
     pd.testing.assert_frame_equal(got, same)
 
 
+def test_rounds_of_cuts_have_no_largest_key(spark, monkeypatch):
+    from waymark.operators import skew
+
+    monkeypatch.setattr(skew, "CUTS", 4)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    df, _ = drives(spark, 2)
+    want = {(r.image_id, r.frame_no, r.gap_ms) for r in frames(df, share=1.0).collect()}
+    assert {(r.image_id, r.frame_no, r.gap_ms) for r in frames(df, share=0.001, rows_per_task=15).collect()} == want
+    hot = df.where("sequence_id is not null").withColumn("_key", F.coalesce("captured_at", F.lit(1 << 40)))
+    assert skew._cut(hot, 15).groupBy("sequence_id", "_path").count().agg(F.max("count")).first()[0] <= 30
+
+
+def test_repeats_of_one_image_end(spark):
+    df = spark.createDataFrame([(7, "s", 5, 1.0, 1.0)] * 200 + [(i, "s", i, 1.0, 1.0) for i in range(100)], KIND)
+    assert frames(df, share=0.5, rows_per_task=10).count() == 300
+
+
 def test_heavy_keys_are_exact(spark):
     df, rows = drives(spark)
     total = len(rows)

@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from waymark.functions.geo import local_xy, tile_x, tile_y
-from waymark.operators import embedding, evaluation, examples, rerank, roads
+from waymark.operators import embedding, evaluation, examples, rerank, roads, skew
 from waymark.plans.analyses import rounded
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import FULL, Scene
@@ -187,11 +186,10 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
 select user_id, count(*) as n_events, max(gap) as max_gap_ms from g group by 1""",
 )
 def event_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Longest pause of each user; lag over the user's events."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = table(spark, d, "events").select("user_id", (ms - F.lag(ms).over(w)).alias("gap"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("gap").alias("max_gap_ms"))
+    """Longest pause of each user: the frames of problem 3 over events, so a busy user is no hot task."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("sequence_id"), F.col("event_id").alias("image_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("captured_at"))
+    gaps = skew.frames(rows.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")}))
+    return gaps.groupBy(F.col("sequence_id").alias("user_id")).agg(F.count("*").alias("n_events"), F.max("gap_ms").alias("max_gap_ms"))
 
 
 @query("variant_random_hits")
