@@ -1,4 +1,5 @@
 import json
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -78,6 +79,10 @@ def test_bootstrap_matches_numpy(spark):
     n, h = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     samples = h[drawn].sum(1) / n[drawn].sum(1)
     assert (out.low, out.high) == pytest.approx(tuple(np.percentile(samples, [2.5, 97.5])), abs=1e-12)
+    lanes = [stats.bootstrap(df.repartition(parts), "sequence_id", (1,), 2000, 42, lane_rows=7).first() for parts in (1, 5)]
+    assert lanes[0] == lanes[1] and (lanes[0].low, lanes[0].high) == pytest.approx((out.low, out.high), abs=0.02)
+    spread, whole = stats.resampled(df, "sequence_id", ["n_solvable"], 3000, 1, lane_rows=7)
+    assert spread.mean() == pytest.approx(n.sum(), rel=0.01) and spread.std() == pytest.approx(n.std() * 40**0.5, rel=0.06) and whole[0] == n.sum()
     same = stats.paired_difference(df, df, "sequence_id", (1,), 50).first()
     assert (same.difference, same.low, same.high, same.includes_zero) == (0.0, 0.0, 0.0, True)
     with pytest.raises(ValueError):
@@ -87,6 +92,12 @@ def test_bootstrap_matches_numpy(spark):
 def test_rank_correlations(spark):
     assert stats.spearman_exact([1, 2, 3, 4], [10, 20, 30, 40]) == (1.0, pytest.approx(2 / 24))
     assert stats.spearman_exact([1, 2], [1, 2]) == (None, None)
+    for n in (3, 5, 6):
+        sums = [sum((i - p) ** 2 for i, p in enumerate(order)) for order in permutations(range(n))]
+        assert stats.squared_rank_differences(n).tolist() == np.bincount(sums, minlength=n * (n * n - 1) // 3 + 1).tolist()
+    rho, p = stats.spearman_exact([3, 1, 2, 5, 4], [2, 2, 9, 7, 8])
+    d = np.array([2, 0, 1, 4, 3]) - np.array([0, 1, 4, 2, 3])
+    assert rho == pytest.approx(1 - 6 * (d @ d) / 120) and 0 < p <= 1
     assert stats.spearman_exact(range(9), range(9)) == (1.0, None)
     df = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (5, 9), (None, 1)], "x int, y int")
     import pandas as pd
@@ -159,9 +170,11 @@ def test_roads(spark):
 
 
 def test_formats(spark, tmp_path):
-    assert formats.slug("Bad Ort (Süd), Land") == "bad-ort-sued" and formats.slug("Ærø") == "aeroe" and formats.slug("Łódź") == "lodz"
-    with pytest.raises(ValueError):
-        formats.slug("???")
+    names = ["Bad Ort (Süd), Land", "Ærø", "Łódź", "  São Tomé ", "Ａ1 東京x", "Öst--(Ä)", "Þór", "İzmir, TR", None]
+    slugs = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string").orderBy("i").select(formats.place_slug("name").alias("s"))
+    assert [r.s for r in slugs.collect()] == ["bad-ort-sued", "aeroe", "lodz", "sao-tome", "1-x", "oest-ae", "thor", "izmir", None]
+    with pytest.raises(Exception, match="nothing is left"):
+        spark.createDataFrame([("???",)], "name string").select(formats.place_slug("name")).collect()
     assert formats.variant_base("net_fullref_gv20") == ("net_fullref", "gv20") and formats.variant_base("net") == ("net", None)
     formats.write_record({"a": float("nan"), "b": [1.0, float("inf")]}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": None, "b": [1.0, None]}

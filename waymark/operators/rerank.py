@@ -39,8 +39,9 @@ def sequence_window(rankings: DataFrame, positions: DataFrame, width: int, k: in
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+    top = np.maximum(x.max(axis=axis, keepdims=True), -1e300)  # where nothing is possible the sum stays -inf
+    with np.errstate(divide="ignore"):
+        return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
 def _move(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray, seconds: float, sigma: float, speed: float) -> np.ndarray:
@@ -51,8 +52,21 @@ def _move(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarr
     return -np.abs(d - speed * seconds) / sigma
 
 
-def _moves(lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, sigma: float, speed: float) -> list[np.ndarray]:
-    return [_move(lat[i - 1], lon[i - 1], lat[i], lon[i], (at_ms[i] - at_ms[i - 1]) / 1000.0, sigma, speed) for i in range(1, len(at_ms))]
+def _links(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float) -> list[np.ndarray]:
+    """For each frame but the first the log weights of coming to its candidates from those before."""
+    seconds = np.diff(at_ms) / 1000.0
+    return [_move(lat[i], lon[i], lat[i + 1], lon[i + 1], dt, sigma, speed) + beta * sim[i + 1] for i, dt in enumerate(seconds)]
+
+
+def _sweep(start: np.ndarray, links: list[np.ndarray], gather) -> list[np.ndarray]:
+    """Messages along a chain: each is the one before, joined with a link and gathered over the candidates left behind.
+
+    ``gather`` is a sum or a maximum in logarithms; leading axes of ``start`` are swept side by side.
+    """
+    told = [start]
+    for link in links:
+        told.append(gather(told[-1][..., None] + link, -2))
+    return told
 
 
 def hmm_paths(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float, outside: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -60,33 +74,24 @@ def hmm_paths(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarr
 
     Emissions are ``beta * sim``, transitions ``-|d - speed * dt| / sigma`` with the great-circle
     distance between candidates; absent candidates carry a similarity of -inf. ``outside``
-    has what ``hmm_boundaries`` says about the rest of the drive.
+    has what ``hmm_boundaries`` says about the rest of the drive. Messages run from both
+    ends, as sums for the posteriors and as maxima for the path, which then goes forward
+    along the greatest remainder.
     """
-    t, k = sim.shape
-    emit = beta * sim
-    forward, backward, best = np.zeros((t, k)), np.zeros((t, k)), np.zeros((t, k))
-    back = np.zeros((t, k), dtype=int)
-    forward[0] = best[0] = emit[0]
+    k = sim.shape[1]
+    links = _links(sim, lat, lon, at_ms, beta, sigma, speed)
+    returning = [link.T for link in reversed(links)]
+    enter, before, after, leave = beta * sim[0], beta * sim[0], np.zeros(k), np.zeros(k)
     if outside is not None:
-        n, m = len(outside["forward"]), len(outside["backward"])
-        forward[0, :n] += outside["forward"]
-        best[0, :n] += outside["enter"]
-        backward[-1, :m] = outside["backward"]
-    moves = _moves(lat, lon, at_ms, sigma, speed)
-    for i in range(1, t):
-        forward[i] = emit[i] + _log_sum(forward[i - 1][:, None] + moves[i - 1], 0)
-        options = best[i - 1][:, None] + moves[i - 1]
-        back[i] = options.argmax(0)
-        best[i] = emit[i] + options.max(0)
-    for i in range(t - 2, -1, -1):
-        backward[i] = _log_sum(moves[i] + (emit[i + 1] + backward[i + 1])[None], 1)
-    joint = forward + backward
-    posterior = np.exp(joint - _log_sum(joint, 1)[:, None])
-    path = np.zeros(t, dtype=int)
-    path[-1] = best[-1].argmax() if outside is None else outside["leave"]
-    for i in range(t - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return posterior, path
+        fill = lambda v: np.pad(np.asarray(v, dtype=float), (0, k - len(v)))
+        before, enter, after = before + fill(outside["forward"]), enter + fill(outside["enter"]), fill(outside["backward"])
+        leave = np.where(np.arange(k) == outside["leave"], 0.0, -np.inf)
+    joint = np.stack(_sweep(before, links, _log_sum)) + np.stack(_sweep(after, returning, _log_sum)[::-1])
+    remainder = _sweep(leave, returning, np.max)[::-1]
+    path = [int((enter + remainder[0]).argmax())]
+    for link, rest in zip(links, remainder[1:]):
+        path.append(int((link[path[-1]] + rest).argmax()))
+    return np.exp(joint - _log_sum(joint, 1)[:, None]), np.array(path)
 
 
 def hmm_transfer(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.ndarray, beta: float, sigma: float, speed: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +99,9 @@ def hmm_transfer(sim: np.ndarray, lat: np.ndarray, lon: np.ndarray, at_ms: np.nd
 
     The first frame's emission is left out, all others count.
     """
-    sums = tops = np.where(np.eye(sim.shape[1], dtype=bool), 0.0, -np.inf)
-    for emit, move in zip(beta * sim[1:], _moves(lat, lon, at_ms, sigma, speed)):
-        sums = emit[None] + _log_sum(sums[:, :, None] + move[None], 1)
-        tops = emit[None] + (tops[:, :, None] + move[None]).max(1)
-    return sums, tops
+    links = _links(sim, lat, lon, at_ms, beta, sigma, speed)
+    each = np.where(np.eye(sim.shape[1], dtype=bool), 0.0, -np.inf)
+    return _sweep(each, links, _log_sum)[-1], _sweep(each, links, np.max)[-1]
 
 
 def hmm_boundaries(blocks: list[dict], sigma: float, speed: float) -> list[dict]:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most clusters whose sums the driver resamples.
-MAX_CLUSTERS = 2_000_000
+from waymark.sources.staging import stage
+
+#: Clusters that a task resamples.
+LANE_ROWS = 100_000
 
 
 def cluster_sums(flags: DataFrame, cluster: str, threshold_m: float = 25.0, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
@@ -20,80 +22,119 @@ def cluster_sums(flags: DataFrame, cluster: str, threshold_m: float = 25.0, ks:
     return flags.groupBy(cluster).agg(F.count_if(ok).alias("n_solvable"), *[F.count_if(ok & (F.col(f"rank_{threshold_m:g}") <= k)).alias(f"hits_{k}") for k in ks])
 
 
-def resample(sums: np.ndarray, n_draws: int, seed: int) -> np.ndarray:
-    """Sums of each column over ``n_draws`` samples of the rows with replacement.
+def resampled(sums: DataFrame, cluster: str, columns: Sequence[str], n_draws: int, seed: int, lane_rows: int = LANE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``columns`` over ``n_draws`` samples of the clusters with replacement, and over all of them.
 
-    One generator draws row after row, so memory stays at one sample.
+    Clusters lie in lanes of about ``lane_rows``, fixed by their names. How many of a
+    sample's clusters come from which lane is one multinomial draw; a task then draws that
+    many from its lane with a generator keyed by seed and lane (by the seed alone where one
+    lane holds all, which gives numpy's draws over the sorted clusters). Together that is
+    sampling with replacement from all clusters; ``n_draws`` rows reach the driver.
     """
-    rng = np.random.default_rng(seed)
-    n = len(sums)
-    out = np.zeros((n_draws, sums.shape[1]))
-    for b in range(n_draws):
-        out[b] = np.bincount(rng.integers(0, n, size=n), minlength=n) @ sums
-    return out
+    table = stage(sums.select(F.col(cluster).cast("string").alias("_cluster"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]), "clusters")
+    names = [f"_{i}" for i in range(len(columns))]
+    n, *whole = table.agg(F.count("*"), *[F.sum(c) for c in names]).first()
+    if not n:
+        return np.zeros((0, len(columns))), np.zeros(len(columns))
+    lanes = -(-n // lane_rows)
+    table = table.withColumn("_lane", F.pmod(F.xxhash64("_cluster"), F.lit(lanes)))
+    sizes = {r["_lane"]: r["count"] for r in table.groupBy("_lane").count().collect()}  # as many as there are lanes
+    order = sorted(sizes)
+    share = np.random.default_rng(seed).multinomial(n, [sizes[i] / n for i in order], size=n_draws)
+    taken = table.sparkSession.sparkContext.broadcast({lane: share[:, i] for i, lane in enumerate(order)})
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        lane = int(rows["_lane"].iloc[0])
+        x = rows.sort_values(["_cluster", *names])[names].to_numpy()
+        rng = np.random.default_rng([seed, lane] if lanes > 1 else seed)
+        out = [np.bincount(rng.integers(0, len(x), size=m), minlength=len(x)) @ x for m in taken.value[lane]]
+        return pd.DataFrame(np.array(out), columns=names).assign(_draw=np.arange(len(out)))
+
+    drawn = table.groupBy("_lane").applyInPandas(draw, ", ".join(f"{c} double" for c in names) + ", _draw long")
+    rows = drawn.groupBy("_draw").agg(*[F.sum(c).alias(c) for c in names]).orderBy("_draw").toPandas()
+    return rows[names].to_numpy(), np.array(whole, dtype=float)
+
+
+def _recalls(sums: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return sums[..., 1:] / sums[..., :1]
 
 
-def bootstrap(sums: DataFrame, cluster: str, ks: Sequence[int] = (1, 5, 10), n_draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Recall at each k with its 95 % interval over resampled clusters.
+def _columns(ks: Sequence[int]) -> list[str]:
+    return ["n_solvable", *[f"hits_{k}" for k in ks]]
 
-    What reaches the driver is one small row per cluster; more than ``MAX_CLUSTERS`` raise.
-    """
-    samples, whole = _samples(sums, cluster, ks, n_draws, seed)
+
+def bootstrap(sums: DataFrame, cluster: str, ks: Sequence[int] = (1, 5, 10), n_draws: int = 1000, seed: int = 42, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """Recall at each k with its 95 % interval over resampled clusters."""
+    samples, whole = resampled(sums, cluster, _columns(ks), n_draws, seed, lane_rows)
+    if not whole[0]:
+        raise ValueError("no solvable queries to resample")
     rows = []
-    for i, k in enumerate(ks):
-        low, high = np.percentile(samples[:, i], [2.5, 97.5])
-        p = whole[i + 1] / whole[0]
+    for k, p, drawn in zip(ks, _recalls(whole), _recalls(samples).T):
+        low, high = np.nanpercentile(drawn, [2.5, 97.5])
         rows.append((k, float(p), float(low), float(high), float((high - low) / 2), float(1.96 * np.sqrt(p * (1 - p) / whole[0]))))
     return sums.sparkSession.createDataFrame(rows, "k int, recall double, low double, high double, half_width double, naive_half_width double")
 
 
-def _samples(sums: DataFrame, cluster: str, ks: Sequence[int], n_draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    if sums.count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    table = sums.orderBy(cluster).select("n_solvable", *[f"hits_{k}" for k in ks]).toPandas().to_numpy(dtype=float)
-    if not len(table) or table[:, 0].sum() == 0:
-        raise ValueError("no solvable queries to resample")
-    drawn = resample(table, n_draws, seed)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return drawn[:, 1:] / drawn[:, :1], table.sum(0)
-
-
-def paired_difference(a: DataFrame, b: DataFrame, cluster: str, ks: Sequence[int] = (1, 5, 10), n_draws: int = 1000, seed: int = 42) -> DataFrame:
+def paired_difference(a: DataFrame, b: DataFrame, cluster: str, ks: Sequence[int] = (1, 5, 10), n_draws: int = 1000, seed: int = 42, lane_rows: int = LANE_ROWS) -> DataFrame:
     """Difference b - a on identical draws, its interval, and whether that includes 0.
 
-    Both tables must have the same clusters.
+    Both tables must have the same clusters, each once.
     """
-    left, right = a.select(cluster), b.select(cluster)
-    if left.exceptAll(right).limit(1).count() or right.exceptAll(left).limit(1).count():
+    own = _columns(ks)
+    both = a.select(F.col(cluster), *[F.col(c).alias(f"a_{c}") for c in own]).join(b.select(F.col(cluster).alias("_other"), *[F.col(c).alias(f"b_{c}") for c in own]), F.col(cluster).eqNullSafe(F.col("_other")), "full")
+    both = stage(both, "pairs")
+    if both.where("a_n_solvable is null or b_n_solvable is null").limit(1).count():
         raise ValueError("both sides must have the same clusters")
-    sa, wa = _samples(a, cluster, ks, n_draws, seed)
-    sb, wb = _samples(b, cluster, ks, n_draws, seed)
+    samples, whole = resampled(both, cluster, [f"{side}_{c}" for side in "ab" for c in own], n_draws, seed, lane_rows)
+    if not whole[0] or not whole[len(own)]:
+        raise ValueError("no solvable queries to resample")
+    of = lambda x: _recalls(x[..., len(own) :]) - _recalls(x[..., : len(own)])
     rows = []
-    for i, k in enumerate(ks):
-        low, high = np.percentile(sb[:, i] - sa[:, i], [2.5, 97.5])
-        rows.append((k, float(wb[i + 1] / wb[0] - wa[i + 1] / wa[0]), float(low), float(high), bool(low <= 0.0 <= high)))
+    for k, p, drawn in zip(ks, of(whole), of(samples).T):
+        low, high = np.nanpercentile(drawn, [2.5, 97.5])
+        rows.append((k, float(p), float(low), float(high), bool(low <= 0.0 <= high)))
     return a.sparkSession.createDataFrame(rows, "k int, difference double, low double, high double, includes_zero boolean")
 
 
+def squared_rank_differences(n: int) -> np.ndarray:
+    """How many orders of ``n`` ranks have each sum of squared differences to the natural order.
+
+    Ranks are handed out one position after another; a state is the set of ranks given away.
+    """
+    most = n * (n * n - 1) // 3
+    ways = {0: np.eye(1, most + 1, dtype=np.int64)[0]}
+    for position in range(n):
+        following: dict[int, np.ndarray] = {}
+        for used, sums in ways.items():
+            for rank in range(n):
+                if not used >> rank & 1:
+                    shift = (rank - position) ** 2
+                    into = following.setdefault(used | 1 << rank, np.zeros(most + 1, dtype=np.int64))
+                    into[shift:] += sums[: most + 1 - shift]
+        ways = following
+    return ways[(1 << n) - 1]
+
+
 def spearman_exact(x: Sequence[float], y: Sequence[float], most: int = 8) -> tuple[float | None, float | None]:
     """Rank correlation without tie averaging, and its exact two-sided p for up to ``most`` points.
 
-    p is the share of all orders with a correlation at least as strong; below 3 points both are None.
+    p is the share of all orders with a correlation at least as strong, from the counts of
+    every possible sum of squared rank differences; below 3 points both are None.
     """
     n = len(x)
     if n < 3:
         return None, None
-
-    def correlation(d: np.ndarray) -> float:
-        return 1 - 6 * float(d @ d) / (n * (n * n - 1))
-
-    rank = lambda v: np.argsort(np.argsort(np.asarray(v, dtype=float), kind="stable"), kind="stable")
-    rho = correlation(rank(x) - rank(y))
+    rank = [sorted(range(n), key=lambda i: (float(v[i]), i)) for v in (x, y)]
+    place = [{i: r for r, i in enumerate(order)} for order in rank]
+    total = sum((place[0][i] - place[1][i]) ** 2 for i in range(n))
+    scale = n * (n * n - 1)
+    rho = (scale - 6 * total) / scale
     if n > most:
         return rho, None
-    at = np.arange(n)
-    strong = [abs(correlation(at - np.array(order))) >= abs(rho) - 1e-12 for order in permutations(range(n))]
-    return rho, sum(strong) / len(strong)
+    counts = squared_rank_differences(n)
+    strong = np.abs(scale - 6 * np.arange(len(counts))) >= abs(scale - 6 * total)
+    return rho, float(counts[strong].sum() / counts.sum())
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
