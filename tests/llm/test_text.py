@@ -76,6 +76,28 @@ def test_long_text_and_blocks(spark, monkeypatch):
     assert spans(spark, rows) == {(1, 0, 130), (1, 100_000, 250_000), (2, 0, 150_000), (3, 0, 130)}
 
 
+def test_digests_of_equal_spans_are_equal_wherever_they_lie():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, 3000).astype(np.uint32)
+    text[1500:1700] = text[200:400]
+    spans = shared_spans.Spans(text)
+    at = np.arange(0, 2800)
+    keys = set()
+    for digest in (spans.digests(at, at + 120), spans.residues(at, at + 120)):
+        seen = {}
+        for i, d in zip(at, digest):
+            seen.setdefault(int(d), set()).add(bytes(text[i : i + 120]))
+        assert all(len(v) == 1 for v in seen.values()) and len(seen) == len({bytes(text[i : i + 120]) for i in at})
+        keys.add(tuple(digest))
+    assert len(keys) == 2
+    prime, base = (int(x) for x in shared_spans.PRIMES[0])
+    sums, powers = shared_spans._prefixes(text[:50], *shared_spans.PRIMES[0])
+    h, mixed = 0, shared_spans._mix32(text[:50])
+    for i in range(50):
+        h = (h * base + int(mixed[i]) + 1) % prime
+        assert int(sums[i + 1]) == h and int(powers[i + 1]) == pow(base, i + 1, prime)
+
+
 def test_shares(spark):
     a = "".join(chr(97 + (i * i) % 26) for i in range(150))
     df = spark.createDataFrame([(1, a), (2, a + "!" * 50), (3, None), (4, "short")], DOCS).withColumns({"digest": F.lit(1), "id": F.lit("x"), "n_chars": F.lit(0)})
@@ -151,6 +173,20 @@ def test_leak_edges(spark, monkeypatch):
     assert {tuple(r) for r in leakage.leaked_pairs(docs, items).collect()} == {(4, 4), (4, 5)}
 
 
+def test_long_sequences_are_planned_quickly_and_filled():
+    import time
+
+    rng = np.random.default_rng(0)
+    for capacity in (2048, 8192, 32_768):
+        histogram = np.bincount(np.clip(rng.lognormal(6, 1.2, 500_000).astype(int), 1, capacity), minlength=capacity + 1)
+        began = time.perf_counter()
+        patterns = packing.plan(histogram, capacity)
+        assert time.perf_counter() - began < 10
+        tokens = sum(times * sum(n * m for n, m in p.items()) for p, times in patterns)
+        assert tokens == (np.arange(capacity + 1) * histogram).sum() and tokens >= 0.995 * capacity * sum(times for _, times in patterns)
+    assert len(packing.combinations(np.arange(1, 32_769), 32_768)) < 400_000
+
+
 @pytest.mark.parametrize("seed, capacity", [(0, 64), (1, 64), (2, 1), (3, 200)])
 def test_plan_places_every_text(seed, capacity):
     rng = np.random.default_rng(seed)

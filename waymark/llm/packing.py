@@ -1,8 +1,8 @@
 """Problem 7: texts packed into training sequences of a fixed number of tokens.
 
 Lengths are counted into a histogram, which is all the driver sees. Combinations of up to
-three lengths that fill a sequence exactly are the columns of a non-negative least-squares
-problem whose solution says how often to use each; the counts are rounded down to what the
+three lengths that fill a sequence exactly (all, or evenly spread ones where there are
+very many) are the columns of a non-negative least-squares problem whose solution says how often to use each; the counts are rounded down to what the
 histogram holds, and what is left is packed greedily, longest first into the tightest gap.
 The plan has a size set by the capacity, not by the data. Every text then finds its
 sequence by its rank among the texts of its length.
@@ -10,6 +10,7 @@ sequence by its rank among the texts of its length.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from waymark.sources.staging import stage
 
 #: Texts of one length that a task ranks.
 LANE_ROWS = 100_000
+#: Columns of the least-squares problem.
+MOST_COLUMNS = 120_000
 
 
 def default_vocabulary() -> str:
@@ -62,17 +65,29 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_counter(vocabulary or default_vocabulary()), f"id {kind}, n long").select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"))
 
 
-def combinations(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows ``a >= b >= c`` (0 where absent) of the given lengths that add up to ``capacity``."""
+def combinations(lengths: np.ndarray, capacity: int, most: int = MOST_COLUMNS) -> np.ndarray:
+    """Rows ``a >= b >= c`` (0 where absent) of the given lengths that add up to ``capacity``.
+
+    About ``most`` of them: where a longest length has many, evenly spread ones are taken.
+    """
+    lengths = np.unique(lengths[(lengths > 0) & (lengths <= capacity)])
     present = np.zeros(capacity + 1, dtype=bool)
     present[lengths] = True
-    present[0] = True
-    a, b = np.meshgrid(np.arange(1, capacity + 1), np.arange(capacity + 1), indexing="ij")
-    c = capacity - a - b
-    ok = (c >= 0) & (a >= b) & (b >= c)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = present[a] & present[b] & present[c]
-    return np.stack([a[ok], b[ok], c[ok]], 1)
+    whole = lengths[lengths == capacity]
+    found = [np.stack([whole, 0 * whole, 0 * whole], 1)]
+    pair = lengths[(2 * lengths >= capacity) & (lengths < capacity)]
+    pair = pair[present[capacity - pair]]
+    found.append(np.stack([pair, capacity - pair, 0 * pair], 1))
+    longest = lengths[(3 * lengths >= capacity) & (lengths <= capacity - 2)]
+    each = max(8, most // max(len(longest), 1))
+    for a in longest:
+        low, high = np.searchsorted(lengths, [-(-(capacity - a) // 2), min(a, capacity - a - 1) + 1])
+        b = lengths[low:high]
+        b = b[present[capacity - a - b]]
+        if len(b) > each:
+            b = b[np.linspace(0, len(b) - 1, each).astype(np.int64)]
+        found.append(np.stack([np.full(len(b), a), b, capacity - a - b], 1))
+    return np.concatenate(found)
 
 
 def nonnegative_least_squares(columns: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -128,20 +143,28 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int
                 for n, m in need.items():
                     left[n] -= m * times
     gaps: dict[int, list[tuple[dict[int, int], int]]] = {}
+    sizes: list[int] = []  # of the gaps, ascending
+
+    def leave(gap: int, pattern: dict[int, int], times: int) -> None:
+        if gap not in gaps:
+            gaps[gap] = []
+            insort(sizes, gap)
+        gaps[gap].append((pattern, times))
+
     for n in np.flatnonzero(left)[::-1].tolist():
         waiting = int(left[n])
         while waiting:
-            fits = [g for g in gaps if g >= n]
-            gap = min(fits) if fits else capacity
+            at = bisect_left(sizes, n)
+            fits = at < len(sizes)
+            gap = sizes[at] if fits else capacity
             pattern, times = gaps[gap].pop() if fits else ({}, waiting // max(1, capacity // n) or 1)
             if fits and not gaps[gap]:
-                del gaps[gap]
+                del gaps[gap], sizes[at]
             each = min(gap // n, waiting)
             used = min(times, waiting // each)
             if used < times and fits:
-                gaps.setdefault(gap, []).append((pattern, times - used))
-            grown = pattern | {n: pattern.get(n, 0) + each}
-            gaps.setdefault(gap - each * n, []).append((grown, used))
+                leave(gap, pattern, times - used)
+            leave(gap - each * n, pattern | {n: pattern.get(n, 0) + each}, used)
             waiting -= each * used
     for group in gaps.values():
         patterns += group
@@ -173,25 +196,29 @@ class Seats:
 
 
 def pack(docs: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """A sequence and a place in it for every text.
+    """A sequence and a place in it for every text, see ``pack_counted``. Null and empty texts have no tokens and no row."""
+    return pack_counted(token_counts(docs, id_col, text_col, vocabulary), capacity, id_col)
+
+
+def pack_counted(counted: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> DataFrame:
+    """A sequence and a place in it for every row of ``<id_col>, n_tokens``.
 
     Returns ``<id_col>, piece, n_tokens, sequence, start``. Only a text of more than
     ``capacity`` tokens is split, into full sequences and a rest; the pieces count from 0.
-    Null and empty texts have no tokens and no row; a repeated id is packed each time it
-    occurs; ties of length are ranked by id. An empty table gives no rows.
+    A repeated id is packed each time it occurs; ties of length are ranked by id. Rows
+    without tokens and an empty table give no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    counted = token_counts(docs, id_col, text_col, vocabulary)
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity)), lambda i: F.least(F.lit(capacity), F.col("n_tokens") - i * capacity))).alias("piece", "n")
     pieces = stage(counted.where("n_tokens > 0").select(F.col(id_col).alias("id"), cut), "pieces")
-    lanes = int(max(16, min(4096, pieces.count() // LANE_ROWS)))
+    lanes = int(max(16, pieces.count() // LANE_ROWS))
     pieces = pieces.withColumn("lane", F.pmod(F.xxhash64("id", "piece"), F.lit(lanes)).cast("int"))
     counts = stage(pieces.groupBy("n", "lane").agg(F.count("*").alias("many")), "lengths")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in counts.groupBy("n").agg(F.sum("many").alias("many")).collect():  # at most ``capacity`` rows
         histogram[row["n"]] = row["many"]
-    seats = docs.sparkSession.sparkContext.broadcast(Seats(plan(histogram, capacity)))
+    seats = counted.sparkSession.sparkContext.broadcast(Seats(plan(histogram, capacity)))
 
     before = F.coalesce(F.sum("many").over(Window.partitionBy("n").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("n", "lane", before.alias("before"))

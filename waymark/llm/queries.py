@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,10 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p7_pack(spark, d))
+    """How full the sequences are at several lengths; texts are tokenised once."""
+    counted = stage(packing.token_counts(table(spark, d, "documents")), "tokens")
+    reports = [packing.fill_report(packing.pack_counted(counted, c), c).select(F.lit(c).alias("capacity"), "*") for c in (1024, 2048, 4096, 8192, 32_768)]
+    return reduce(DataFrame.unionByName, reports)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +129,21 @@ c as (select seed, split, sum(n) as n from t group by 1, 2),
 w as (select unnest([{", ".join(f"'{s}'" for s in PROPORTIONS)}]) as split, unnest([{", ".join(str(float(w)) for w in PROPORTIONS.values())}]) as wanted),
 e as (select r.seed, round(sum(abs(coalesce(c.n, 0) - wanted * (select sum(n) from g))), 6) as off from range(128) as r(seed) cross join w left join c on c.seed = r.seed and c.split = w.split group by 1),
 a as (select sequence_id, n, split from t where seed = (select seed from e order by off, seed limit 1))
+"""
+    shared = """with w as (select doc_id, unnest(range(0, length(text) - 119)) as start, text from documents where length(text) >= 120),
+s as (select doc_id, start, substr(text, start + 1, 120) as s from w),
+two as (select s from s group by s having count(distinct doc_id) > 1),
+c as (select doc_id, start from s semi join two using (s)),
+o as (select *, coalesce((start > lag(start) over (partition by doc_id order by start) + 120)::int, 0) as opens from c),
+r as (select *, sum(opens) over (partition by doc_id order by start) as run from o),
+spans as (select doc_id, min(start) as span_start, max(start) + 120 as span_end from r group by doc_id, run)
 """
     return {
+        "p9_found": shared + "select * from spans",
+        "p9_shares": shared
+        + """, t as (select doc_id, sum(span_end - span_start)::bigint as shared, count(*) as n from spans group by 1)
+select d.doc_id, coalesce(length(text), 0) as n_chars, coalesce(shared, 0) as shared_chars, coalesce(n, 0) as n_spans,
+  case when length(text) > 0 then coalesce(shared, 0)::double / length(text) else 0.0 end as shared_share from documents d left join t using (doc_id)""",
         "p2_assign": assigned + "select sequence_id, n, split from a",
         "p2_shares": assigned + "select w.split, coalesce(sum(a.n), 0)::bigint as n, round(coalesce(sum(a.n), 0) / (select sum(n) from a), 9) as share, wanted from w left join a using (split) group by w.split, wanted",
         "p2_linked": rf"""with recursive d as (select distinct trim(sequence_id, E' \t\n\r\x0b\x0c') as s, image_id from metadata where sequence_id is not null),
