@@ -6,7 +6,8 @@ text around them, so they survive insertions elsewhere, and every stretch of 120
 points that two texts share holds at least one whole chunk of both (two disjoint
 windows of 44 hashes fit into it). Chunks are deduplicated by digest; only where a
 chunk's digest occurs in a second document are the 120-character windows around the
-chunk digested and compared, which makes the answer exact up to 64-bit digests.
+chunk compared. Chunk digests of 64 bits only nominate; windows are compared by 126 bits:
+a polynomial modulo 2^64 and two modulo primes, which hold where text is periodic.
 
 Both comparisons are aggregates that keep the least and the greatest document id of a
 digest, never a group of rows, and their joins carry one row of the digest on one
@@ -30,6 +31,8 @@ GEAR_SPAN = 32
 #: Characters hashed at a time in a Python worker.
 BLOCK_CHARS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Primes of two further digests and the bases of their polynomials.
+PRIMES = ((np.uint64(2_147_483_647), np.uint64(1_103_515_245)), (np.uint64(2_147_483_629), np.uint64(1_664_525_013)))
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -74,11 +77,37 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - covered)], x[width - covered :]) if width > covered else x
 
 
+def _prefixes(points: np.ndarray, prime: np.uint64, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all prefixes, each ``base`` times the one before plus a character, and the powers of ``base``.
+
+    By doubling: a digest over 2 w characters is one over w shifted, plus the next; rows of
+    the squares of the powers are never needed twice.
+    """
+    n = len(points)
+    powers = np.ones(n + 1, dtype=np.uint64)
+    known = 1
+    if n:
+        powers[1] = base
+    while known < n:
+        more = min(known, n - known)
+        powers[known + 1 : known + 1 + more] = powers[1 : more + 1] * powers[known] % prime
+        known += more
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    sums[1:] = (_mix32(points).astype(np.uint64) + np.uint64(1)) % prime
+    shift = 1
+    while shift <= n:
+        longer = sums.copy()
+        longer[shift:] = (sums[shift:] + sums[:-shift] * powers[shift]) % prime
+        sums, shift = longer, shift * 2
+    return sums, powers
+
+
 class Spans:
-    """Digests of arbitrary spans of one block of text, from prefix sums modulo 2^64."""
+    """Digests of arbitrary spans of one block of text, from prefix sums modulo 2^64 and modulo primes."""
 
     def __init__(self, points: np.ndarray):
         n = len(points)
+        self.points, self.modular = points, {}
         powers = np.full(n + 1, _BASE, dtype=np.uint64)
         powers[0] = 1
         inverse = np.full(n + 1, _BASE_INVERSE, dtype=np.uint64)
@@ -89,6 +118,17 @@ class Spans:
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_mix64(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers[:-1], out=self.sums[1:])
 
+    def residues(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two more digests of 31 bits each in one number, by polynomials modulo primes."""
+        both = np.zeros(len(start), dtype=np.uint64)
+        for prime, base in PRIMES:
+            if prime not in self.modular:
+                self.modular[prime] = _prefixes(self.points, prime, base)
+            sums, powers = self.modular[prime]
+            value = (sums[end] + prime * prime - sums[start] * powers[end - start]) % prime
+            both = (both << np.uint64(31)) | value
+        return both.view(np.int64)
+
     def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         polynomial = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return _mix64(polynomial ^ ((end - start).astype(np.uint64) << np.uint64(40))).view(np.int64)
@@ -174,24 +214,24 @@ def _window_digester(length: int):
                 np.add.at(steps, (base + last)[keep] + 1, -1)
                 at = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
                 owner = np.searchsorted(ends, at, side="right")
-                digests = Spans(_points(texts[a:b])).digests(at, at + length)
+                parts = Spans(_points(texts[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests), pa.array(ids[a:b][owner]), pa.array((at - (ends - lengths)[owner]).astype(np.int32))],
-                    names=["digest", "id", "start"],
+                    [pa.array(parts.digests(at, at + length)), pa.array(parts.residues(at, at + length)), pa.array(ids[a:b][owner]), pa.array((at - (ends - lengths)[owner]).astype(np.int32))],
+                    names=["digest", "check", "id", "start"],
                 )
 
     return windows
 
 
-def _in_two(rows: DataFrame, label: str) -> DataFrame:
-    """Rows of ``rows`` whose digest occurs under more than one id.
+def _in_two(rows: DataFrame, label: str, *digest: str) -> DataFrame:
+    """Rows of ``rows`` whose digest (one or more columns) occurs under more than one id.
 
     The rows are written once; the aggregate combines before its shuffle and the join's
     row side is an ordinary exchange, which adaptive execution splits where a digest is hot.
     """
     written = stage(rows.where("digest is not null and id is not null"), label)
-    twice = written.groupBy("digest").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select("digest")
-    return written.join(twice, "digest", "left_semi")
+    twice = written.groupBy(*digest).agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select(*digest)
+    return written.join(twice, list(digest), "left_semi")
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 120) -> DataFrame:
@@ -205,11 +245,11 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = window_width(min_chars)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") >= min_chars))
     chunks = texts.mapInArrow(_chunker(width), "digest long, id long, start int, end int")
-    candidates = _in_two(chunks, "chunks").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    windows = texts.join(candidates, "id").select("id", "text", "spans").mapInArrow(_window_digester(min_chars), "digest long, id long, start int")
+    candidates = _in_two(chunks, "chunks", "digest").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    windows = texts.join(candidates, "id").select("id", "text", "spans").mapInArrow(_window_digester(min_chars), "digest long, check long, id long, start int")
     order = Window.partitionBy("id").orderBy("start")
     opens: Column = F.coalesce((F.col("start") > F.lag("start").over(order) + min_chars).cast("int"), F.lit(0))
-    runs = _in_two(windows, "windows").select("id", "start").withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    runs = _in_two(windows, "windows", "digest", "check").select("id", "start").withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
     return runs.groupBy("id", "run").agg(F.min("start").cast("long").alias("span_start"), (F.max("start") + min_chars).cast("long").alias("span_end")).select(F.col("id").alias(id_col), "span_start", "span_end")
 
 
