@@ -51,6 +51,31 @@ def test_state_freezes_rates(spark, tmp_path):
     assert rates["2020-01"] == 0.2 and rates["2020-08"] <= 0.01
 
 
+def test_three_deliveries_give_what_one_pass_gives(spark, tmp_path, monkeypatch):
+    from waymark.llm import stable_sample as module
+
+    monkeypatch.setattr(module, "COMPACT", 2)
+    state = SampleState(spark, str(tmp_path / "s"), target=200, base_rate=0.2)
+    members = set()
+    for upto in ("2020-05-01", "2020-08-01", "2020-08-01", "2023-01-01"):
+        sample = state.advance(deliveries(spark, upto), "image_id")
+        assert members <= ids(sample)
+        members = ids(sample)
+    whole = stable_sample(deliveries(spark, "2023-01-01"), "image_id", target=200, base_rate=0.2)
+    assert {tuple(r) for r in sample.collect()} == {tuple(r) for r in whole.collect()}
+    left = {p.name for p in (tmp_path / "s").iterdir()}
+    assert {"rates-4", "rates-3", "pieces-4", "pieces-3"} <= left and not left & {"rates-2", "pieces-2", "seen-1", "delivery-4"}
+    assert SampleState(spark, str(tmp_path / "s"))._generation() == 4
+
+
+def test_a_generation_that_was_not_finished_does_not_count(spark, tmp_path):
+    state = SampleState(spark, str(tmp_path / "s"), target=200, base_rate=0.2)
+    first = ids(state.advance(deliveries(spark, "2020-06-15"), "image_id"))
+    (tmp_path / "s" / "seen-2").mkdir()
+    (tmp_path / "s" / "pieces-2").mkdir()
+    assert first < ids(state.advance(deliveries(spark, "2023-01-01"), "image_id"))
+
+
 def test_rates_fall_as_more_is_seen(spark):
     rates = freeze_rates(first_seen(deliveries(spark, "2023-01-01"), "image_id"), 200, 0.2).orderBy("epoch").collect()
     assert [r.seen_before for r in rates][0] == 0 and all(a.rate >= b.rate for a, b in zip(rates, rates[1:]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import cross_split, group_split, leakage, packing, shared_spans, stable_sample, vector_neighbours
-from waymark.sources.staging import stage
+from waymark.sources.staging import folder, stage
 from waymark.sources.tables import metadata, table, trimmed
 
 #: Shares of images for train, database and query.
@@ -54,13 +54,25 @@ def p2_linked(spark: SparkSession, d: str) -> DataFrame:
     return assigned.groupBy("sequence_id", "component", "split").agg(F.sum("n").alias("n"))
 
 
+def _persisted(spark: SparkSession, rows: DataFrame, key: str, **rates) -> DataFrame:
+    """The sample through the persisted state: one delivery for the older half of the months, one for the rest."""
+    state = stable_sample.SampleState(spark, folder(spark, "sample"), **rates)
+    rows = stage(rows.groupBy(key).agg(F.min("ingested_at").alias("ingested_at")), "arrivals")
+    middle = rows.agg(F.min(F.unix_seconds("ingested_at")), F.max(F.unix_seconds("ingested_at"))).first()
+    if middle[0] is not None:
+        early = F.unix_seconds("ingested_at") <= (middle[0] + middle[1]) // 2
+        state.advance(rows.where(early), key)
+        return state.advance(rows.where(~early), key)
+    return state.advance(rows, key)
+
+
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    return stable_sample.stable_sample(table(spark, d, "metadata"), "image_id")
+    return _persisted(spark, table(spark, d, "metadata").select("image_id", "ingested_at"), "image_id")
 
 
 def p4_drives(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "metadata").select(trimmed("sequence_id").alias("sequence_id"), "ingested_at")
-    return stable_sample.stable_sample(rows, "sequence_id", target=2_000, base_rate=0.1)
+    return _persisted(spark, rows, "sequence_id", target=2_000, base_rate=0.1)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +121,31 @@ def _rendezvous_sql(component: str, seed: str) -> str:
     return f"list_max([{scores}]).name"
 
 
+def _threefry_sql(k0: str, k1: str, source: str, keep: str) -> str:
+    """Nested queries over ``source`` that add ``x0, x1`` of Threefry-2x32 with a zero counter."""
+    m = stable_sample._MASK
+    words = ["k0", "k1", f"xor(xor(k0, k1), {stable_sample.PARITY})"]
+    sql = f"select *, k0 as x0, k1 as x1 from (select {keep}, {k0} as k0, {k1} as k1 from {source})"
+    for r in range(20):
+        by = stable_sample.ROTATIONS[r % 8]
+        sql = f"select {keep}, k0, k1, (x0 + x1) & {m} as x0, x1 from ({sql})"
+        sql = f"select {keep}, k0, k1, x0, xor(((x1 << {by}) | (x1 >> {32 - by})) & {m}, x0) as x1 from ({sql})"
+        if r % 4 == 3:
+            i = (r + 1) // 4
+            sql = f"select {keep}, k0, k1, (x0 + {words[i % 3]}) & {m} as x0, (x1 + {words[(i + 1) % 3]} + {i}) & {m} as x1 from ({sql})"
+    return sql
+
+
+def _sample_sql(key: str, rows: str, number: str, target: int, rate: float) -> str:
+    return f"""with rows as ({rows}), seen as (select {key}, strftime(min(ingested_at), '%Y-%m') as epoch from rows where {key} is not null and ingested_at is not null group by 1),
+n as (select epoch, count(*) as n from seen group by 1),
+b as (select epoch, coalesce(sum(n) over (order by epoch rows between unbounded preceding and 1 preceding), 0) as before from n),
+rates as (select epoch, case when before = 0 then {rate}::double else least({rate}::double, {target}::double / before) end as rate from b),
+numbered as (select {key}, epoch, {number} as number from seen),
+random as ({_threefry_sql(f"number & {stable_sample._MASK}", "number >> 32", "numbered", f"{key}, epoch")})
+select {key}, epoch, rate, (x0 * 2097152.0::double + (x1 >> 11)) / 9007199254740992.0::double as u from random join rates using (epoch) where (x0 * 2097152.0::double + (x1 >> 11)) / 9007199254740992.0::double < rate"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
@@ -139,6 +176,8 @@ r as (select *, sum(opens) over (partition by doc_id order by start) as run from
 spans as (select doc_id, min(start) as span_start, max(start) + 120 as span_end from r group by doc_id, run)
 """
     return {
+        "p4_sample": _sample_sql("image_id", "select image_id, ingested_at from metadata", "image_id", 20_000, 0.05),
+        "p4_drives": _sample_sql("sequence_id", r"select trim(sequence_id, E' \t\n\r\x0b\x0c') as sequence_id, ingested_at from metadata", "('0x' || substr(md5(sequence_id), 1, 15))::bigint", 2_000, 0.1),
         "p9_found": shared + "select * from spans",
         "p9_shares": shared
         + """, t as (select doc_id, sum(span_end - span_start)::bigint as shared, count(*) as n from spans group by 1)

@@ -18,6 +18,8 @@ _MASK = 0xFFFFFFFF
 #: Fixed values of Threefry-2x32: rotations and key parity.
 ROTATIONS = (13, 15, 26, 6, 17, 29, 16, 24)
 PARITY = 0x1BD11BDA
+#: Pieces of the persisted state that are merged into one.
+COMPACT = 16
 
 
 def threefry2x32(k0: Column, k1: Column, c0: Column, c1: Column, rounds: int = 20) -> Column:
@@ -72,9 +74,8 @@ def freeze_rates(seen: DataFrame, target: int, base_rate: float, frozen: DataFra
 
 
 def select(seen: DataFrame, rates: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Members of the sample: ``key, epoch, rate, u``. A string key is hashed to 64 bits."""
-    kind = dict(seen.dtypes)[key]
-    number = F.xxhash64(key) if kind == "string" else F.col(key).cast("long")
+    """Members of the sample: ``key, epoch, rate, u``. A string key is digested to 60 bits."""
+    number = F.conv(F.substring(F.md5(F.col(key)), 1, 15), 16, 10).cast("long") if dict(seen.dtypes)[key] == "string" else F.col(key).cast("long")
     return seen.join(rates.select("epoch", "rate"), "epoch").withColumn("u", keyed_uniform(number, seed)).where("u < rate").select(key, "epoch", "rate", "u")
 
 
@@ -87,32 +88,64 @@ def stable_sample(rows: DataFrame, key: str, target: int = 20_000, base_rate: fl
 class SampleState:
     """First-seen epochs and frozen rates kept as Parquet tables under ``path``.
 
-    Each ``advance`` writes a new generation next to the old one and only then names it
-    current, so a failed run leaves the state as it was.
+    ``advance`` takes in a delivery: keys never seen before are appended as one more piece
+    (old pieces aren't rewritten; only a delivery's own keys are shuffled against them),
+    epochs get their rate once. Each generation ends with a list of its pieces, written
+    last, so a failed run leaves the state as it was. After ``COMPACT`` pieces they are
+    merged into one; what the newest two generations don't name is deleted.
     """
 
     def __init__(self, spark, path: str, target: int = 20_000, base_rate: float = 0.05, seed: int = 0):
         self.spark, self.path, self.target, self.base_rate, self.seed = spark, path.rstrip("/"), target, base_rate, seed
 
-    def _generation(self) -> int:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+    def _files(self):
+        jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(conf)
-        if not files.exists(root):
-            return 0
-        done = [s.getPath().getName() for s in files.listStatus(root)]
-        return max([int(n.removeprefix("done-")) for n in done if n.startswith("done-")], default=0)
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+
+    def _names(self) -> list[str]:
+        _, files, root = self._files()
+        return [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+
+    def _generation(self) -> int:
+        path, files, _ = self._files()
+        done = [n for n in self._names() if n.startswith("pieces-") and files.exists(path(f"{self.path}/{n}/_SUCCESS"))]
+        return max([int(n.removeprefix("pieces-")) for n in done], default=0)
+
+    def _pieces(self, generation: int) -> list[str]:
+        return [r["piece"] for r in self.spark.read.parquet(f"{self.path}/pieces-{generation}").collect()] if generation else []
+
+    def seen(self, pieces: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in pieces])
 
     def advance(self, rows: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:
         """Take in new rows and return the sample of everything seen so far."""
         at = self._generation()
-        seen, frozen = first_seen(rows, key, arrived), None
+        pieces, frozen = self._pieces(at), None
+        fresh = first_seen(rows, key, arrived)
         if at:
-            old = self.spark.read.parquet(f"{self.path}/seen-{at}")
             frozen = self.spark.read.parquet(f"{self.path}/rates-{at}")
-            seen = old.unionByName(seen.join(old.select(key), key, "left_anti"))
-        seen.write.mode("overwrite").parquet(f"{self.path}/seen-{at + 1}")
-        seen = self.spark.read.parquet(f"{self.path}/seen-{at + 1}")
-        freeze_rates(seen, self.target, self.base_rate, frozen).write.mode("overwrite").parquet(f"{self.path}/rates-{at + 1}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/done-{at + 1}")
-        return select(seen, self.spark.read.parquet(f"{self.path}/rates-{at + 1}"), key, self.seed)
+            # The delivery is written before it is joined, so that its size is known and decides how.
+            fresh = self._write(fresh, f"delivery-{at + 1}")
+            known = self.seen(pieces).join(fresh.select(key), key, "left_semi").select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        self._write(fresh, f"seen-{at + 1}")
+        pieces.append(f"seen-{at + 1}")
+        if len(pieces) > COMPACT:
+            self._write(self.seen(pieces), f"merged-{at + 1}")
+            pieces = [f"merged-{at + 1}"]
+        seen = self.seen(pieces)
+        rates = self._write(freeze_rates(seen, self.target, self.base_rate, frozen), f"rates-{at + 1}")
+        self._write(self.spark.createDataFrame([(p,) for p in pieces], "piece string").coalesce(1), f"pieces-{at + 1}")
+        self._forget(at)
+        return select(seen, rates, key, self.seed)
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def _forget(self, before: int) -> None:
+        path, files, _ = self._files()
+        kept = {p for g in (before, before + 1) for p in [*self._pieces(g), f"rates-{g}", f"pieces-{g}"]}
+        for name in set(self._names()) - kept:
+            files.delete(path(f"{self.path}/{name}"), True)
