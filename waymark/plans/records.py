@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from waymark.plans.analyses import rounded
 from waymark.plans.registry import Catalogue
 from waymark.plans.retrieval import FULL, Scene
 from waymark.sources import formats, views
-from waymark.sources.staging import shared_folder, stage
+from waymark.sources.staging import folder, stage
 from waymark.sources.tables import table
 from waymark.sources.views import IMAGES_SQL, RANKINGS_SQL
 from waymark.streaming import arrivals
@@ -23,10 +21,6 @@ query = catalogue.query
 queries, oracle_sql = catalogue.queries, catalogue.oracle_sql
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _COLUMNS = "image_id, sequence_id, captured_at, lat, lon, compass_angle, is_pano, creator_id"
 
 
@@ -38,7 +32,7 @@ def s1_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s3_csv_round_trip", f"with {IMAGES_SQL} select {_COLUMNS} from m where placed")
 def s3_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     rows = views.images(spark, d).where("placed")
     formats.write_csv(formats.with_required_columns(rows), path)
     return formats.read_csv(spark, path)
@@ -46,7 +40,7 @@ def s3_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s8_ranking_round_trip", f"with {RANKINGS_SQL} select query_id, rank, ref_id, round(sim, 9) as sim from r")
 def s8_ranking_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "lists")
+    path = folder(spark, "lists")
     formats.write_rankings(views.rankings(spark, d), path)
     return formats.read_rankings(spark, path).withColumn("sim", F.round("sim", 9))
 
@@ -61,7 +55,7 @@ def s11_json_records(spark: SparkSession, d: str) -> DataFrame:
 @query("s12_json_scan", f"with {IMAGES_SQL} select split, count(*) as n from m where split is not null group by 1")
 def s12_json_scan(spark: SparkSession, d: str) -> DataFrame:
     """Records with the field ``split`` among JSON files of several kinds."""
-    path = _folder(spark, "json")
+    path = folder(spark, "json")
     counts = views.images(spark, d, "split").groupBy("split").agg(F.count("*").alias("n"))
     counts.write.option("maxRecordsPerFile", 1).json(path)  # one document per file
     spark.range(3).select(F.col("id").alias("other")).write.option("maxRecordsPerFile", 1).mode("append").json(path)
@@ -119,7 +113,7 @@ def a32_detection_census(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s13_detection_lines", f"with {_DETECTIONS_SQL} select image_id, max(n) filter (where class = 'car') as cars, max(n) filter (where class = 'tree') as trees from d group by 1")
 def s13_detection_lines(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "detections")
+    path = folder(spark, "detections")
     formats.append_detections(_detections(spark, d), path)
     return formats.read_detections(spark, path).select("image_id", F.col("counts")["car"].alias("cars"), F.col("counts")["tree"].alias("trees"))
 
@@ -176,7 +170,7 @@ def g8_facing(spark: SparkSession, d: str) -> DataFrame:
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts of the events table read as a stream."""
     counts = arrivals.windowed_counts(arrivals.event_stream(spark, d), "event_type")
-    rows = arrivals.run_available(counts, _folder(spark, "stream"))
+    rows = arrivals.run_available(counts, folder(spark, "stream"))
     return rows.select(F.unix_millis("start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

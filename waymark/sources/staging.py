@@ -29,15 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local_folder}"
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder in the shared one, deleted like a staged table."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     An executor lost later costs nothing: the files are the only lineage left.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
