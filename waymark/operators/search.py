@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,10 @@ from pyspark.sql.window import Window
 
 from waymark.functions.geo import haversine
 
-#: Queries sent to every task at a time.
+#: Most queries that are broadcast, and queries scored at a time.
 QUERY_BLOCK = 4096
+#: Queries and references of one cell of the grid.
+CELL_QUERIES, CELL_REFERENCES = 16_384, 32_768
 #: References scored at a time, which bounds the matrix of similarities.
 REFERENCE_BLOCK = 2048
 
@@ -35,52 +36,93 @@ def top_k(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(found, order, 1), np.take_along_axis(kept, order, 1)
 
 
+def _running_best(ids: np.ndarray, q: np.ndarray, k: int):
+    """Keeps the ``k`` best references of each query while they come by, a block at a time."""
+    best = [np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))]
+
+    def see(names: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(names), REFERENCE_BLOCK):
+            here = names[at : at + REFERENCE_BLOCK]
+            sims = np.round(q @ x[at : at + REFERENCE_BLOCK].T, 9)
+            sims[ids[:, None] == here[None]] = -np.inf
+            new = top_k(np.broadcast_to(here, sims.shape), sims, k)
+            best[:] = top_k(*(np.concatenate(pair, axis=1) for pair in zip(best, new)), k)
+
+    def rows() -> pa.RecordBatch:
+        ok = np.isfinite(best[1])
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(ok)[0]]), pa.array(best[0][ok]), pa.array(best[1][ok])], names=["query_id", "ref_id", "sim"])
+
+    return see, rows
+
+
+def _matrix(column, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+
+
 def _scorer(shared, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best_ids, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+        see, rows = _running_best(*shared.value, k)
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(names):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1).astype(np.float64)
-            for at in range(0, len(names), REFERENCE_BLOCK):
-                here = names[at : at + REFERENCE_BLOCK]
-                sims = np.round(q @ x[at : at + REFERENCE_BLOCK].T, 9)
-                sims[ids[:, None] == here[None]] = -np.inf
-                new_ids, new = top_k(np.broadcast_to(here, sims.shape), sims, k)
-                best_ids, best = top_k(np.concatenate([best_ids, new_ids], 1), np.concatenate([best, new], 1), k)
-        ok = np.isfinite(best)
-        row, _ = np.nonzero(ok)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_ids[ok]), pa.array(best[ok])], names=["query_id", "ref_id", "sim"])
+            if batch.num_rows:
+                see(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), batch.num_rows))
+        yield rows()
+
+    return score
+
+
+def _cell_scorer(k: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        asks, refs = (table.filter(pa.compute.equal(table.column("asks"), flag)) for flag in (True, False))
+        if asks.num_rows and refs.num_rows:
+            names, x = refs.column("image_id").to_numpy(), _matrix(refs.column("vec").combine_chunks(), refs.num_rows)
+            for at in range(0, asks.num_rows, QUERY_BLOCK):
+                some = asks.slice(at, QUERY_BLOCK)
+                see, rows = _running_best(some.column("image_id").to_numpy(), _matrix(some.column("vec").combine_chunks(), some.num_rows), k)
+                see(names, x)
+                yield rows()
 
     return score
 
 
-def exact_topk(queries: DataFrame, references: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def merged_lists(lists: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of all partial lists ``query_id, ref_id, sim`` of each query (K3, K5).
+
+    The ranking window is limited before its shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id"))
+    return lists.select("query_id", "ref_id", "sim").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
+
+
+def exact_topk(queries: DataFrame, references: DataFrame, k: int, block: int = QUERY_BLOCK, cell_queries: int = CELL_QUERIES, cell_references: int = CELL_REFERENCES) -> DataFrame:
     """``query_id, rank, ref_id, sim``: the ``k`` most similar references of every query.
 
-    Both have ``image_id`` and a unit ``vec``. Queries go to the tasks in blocks of a fixed
-    size, references stay where they are read, a task keeps ``k`` per query, and the lists
-    of the tasks are merged by a ranking window (with a limit before its shuffle).
+    Both have ``image_id`` and a unit ``vec``. Up to ``block`` queries are broadcast, and
+    references stay where they are read. More queries form a grid with the references:
+    each cell has a bounded block of both, and the partial lists of a query's cells are
+    merged by a ranking window. One job either way, however many queries there are.
     Similarities are rounded to 9 decimals, ties go to the smaller id, an image isn't its
     own neighbour, and lists are shorter than ``k`` where there are fewer references.
     """
     spark = queries.sparkSession
     n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for i in range(blocks):
-        rows = (queries.where(F.pmod(F.xxhash64("image_id"), F.lit(blocks)) == i) if blocks > 1 else queries).select("image_id", "vec").toPandas()
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast((rows["image_id"].to_numpy(dtype=np.int64), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
-        parts.append(references.select("image_id", "vec").mapInArrow(_scorer(shared, k), "query_id long, ref_id long, sim double"))
-    if not parts:
+    if not n:
         return spark.createDataFrame([], "query_id long, rank long, ref_id long, sim double")
-    rows = reduce(DataFrame.unionByName, parts)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id"))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
+    found = "query_id long, ref_id long, sim double"
+    if n <= block:
+        rows = queries.select("image_id", "vec").toPandas()
+        shared = spark.sparkContext.broadcast((rows["image_id"].to_numpy(dtype=np.int64), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
+        return merged_lists(references.select("image_id", "vec").mapInArrow(_scorer(shared, k), found), k)
+    wide, high = -(-n // cell_queries), -(-max(references.count(), 1) // cell_references)
+
+    def cells(df: DataFrame, asks: bool) -> DataFrame:
+        own, others = (wide, high) if asks else (high, wide)
+        at = F.pmod(F.xxhash64("image_id", F.lit(asks)), F.lit(own))
+        rows = df.select("image_id", "vec", F.lit(asks).alias("asks"), at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("long").alias("other"))
+        cell = F.col("at") * high + F.col("other") if asks else F.col("other") * high + F.col("at")
+        return rows.select(cell.alias("cell"), "asks", "image_id", "vec")
+
+    return merged_lists(cells(queries, True).unionByName(cells(references, False)).groupBy("cell").applyInArrow(_cell_scorer(k), found), k)
 
 
 def locate(queries: DataFrame, references: DataFrame, images: DataFrame, k: int = 10) -> DataFrame:
