@@ -51,7 +51,8 @@ def nearest_edge(points: DataFrame, edges: DataFrame, max_m: float = 50.0, step_
     marks = samples(pieces, step_m).select(F.col("segment_id").alias("image_id"), "lat", "lon")
     pairs = near_pairs(points, marks, max_m + step_m / 2).select(F.col("left_id").alias("image_id"), F.col("right_id").alias("segment_id")).distinct()
     met = pairs.join(points.select("image_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "image_id").join(pieces, "segment_id")
-    met = met.withColumn("d_m", segment_distance("p_lat", "p_lon")).where(F.col("d_m") <= max_m)
+    # To the micrometre, so that edges which share a corner tie.
+    met = met.withColumn("d_m", F.round(segment_distance("p_lat", "p_lon"), 6)).where(F.col("d_m") <= max_m)
     best = met.groupBy("image_id").agg(F.min(F.struct("d_m", "edge_id", "highway")).alias("b"))
     return points.select("image_id").join(best.select("image_id", "b.edge_id", "b.highway", "b.d_m"), "image_id", "left")
 

@@ -10,10 +10,10 @@ from waymark.operators import audit, dataset, descriptors, evaluation, search, s
 from waymark.operators.hierarchy import containing_region
 from waymark.plans.analyses import DISTRICT_SQL, rounded
 from waymark.plans.registry import Catalogue
-from waymark.plans.retrieval import FULL, Scene, near_sql
+from waymark.plans.retrieval import _HARD, FULL, Scene, near_sql
 from waymark.sources import views
 from waymark.sources.staging import stage
-from waymark.sources.tables import table
+from waymark.sources.tables import table, trimmed
 from waymark.sources.views import IMAGES_SQL, RANKINGS_SQL, hits_sql, metres_sql
 
 catalogue = Catalogue()
@@ -76,13 +76,23 @@ def k7_argmax(spark: SparkSession, d: str) -> DataFrame:
     return search.exact_topk(v.where(F.col("image_id") % 50 == 0), v, 1).select("query_id", "ref_id")
 
 
-@query("l8_locate")
+@query(
+    "l8_locate",
+    f"""with {VECTORS_SQL}, {IMAGES_SQL}, a as (select * from v where image_id % 50 = 0), g as (select v.* from v join m using (image_id) where split in ('database', 'train') and placed),
+s as (select a.image_id as query_id, g.image_id as ref_id, round({_dot("a.vec", "g.vec")}, 9) as sim from a join g on a.image_id <> g.image_id),
+t as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from s qualify rank <= 10),
+p as (select t.*, m.lat, m.lon from t join m on m.image_id = t.ref_id),
+o as (select p.*, o.lat as lat1, o.lon as lon1 from p join p o on o.query_id = p.query_id and o.rank = 1),
+l as (select query_id, any_value(lat1) as lat, any_value(lon1) as lon, max(sim) filter (where rank = 1) as confidence, max(sim) filter (where rank = 2) as second, max({metres_sql("lat1", "lon1", "lat", "lon")}) as spread_m from o group by 1)
+select a.image_id as query_id, null::varchar as error, round(lat, 6) as lat, round(lon, 6) as lon, round(confidence, 6) as confidence, round(confidence - second, 6) as margin, round(spread_m, 3) as spread_m from a left join l on l.query_id = a.image_id""",
+)
 def l8_locate(spark: SparkSession, d: str) -> DataFrame:
     """Coordinates for the images whose id is divisible by 50, from all placed train and database images."""
     v = _vectors(spark, d)
     images = stage(views.images(spark, d, "lat", "lon", "split"), "images")
     refs = v.join(evaluation.references_of(images, FULL).select("image_id"), "image_id", "left_semi")
-    return search.locate(v.where(F.col("image_id") % 50 == 0), refs, images)
+    found = search.locate(v.where(F.col("image_id") % 50 == 0), refs, images)
+    return found.withColumns({c: F.round(c, 3 if c == "spread_m" else 6) for c in ("lat", "lon", "confidence", "margin", "spread_m")})
 
 
 @query(
@@ -130,7 +140,11 @@ def v6_projection_check(spark: SparkSession, d: str) -> DataFrame:
     return descriptors.mean_cosine(descriptors.apply_projection(v, whole), descriptors.apply_projection(v, half))
 
 
-@query("v8_adapter")
+@query(
+    "v8_adapter",
+    f"""with {VECTORS_SQL}, w as (select vec, list_concat([0.8 * vec[1] - 0.6 * vec[2], 0.6 * vec[1] + 0.8 * vec[2]], vec[3:]) as turned from v),
+c as (select {_dot("vec", "turned")} / sqrt({_dot("turned", "turned")}) as c from w) select count(*) as n, round(min(c), 6) as min_cosine, round(avg(c), 6) as mean_cosine from c""",
+)
 def v8_adapter(spark: SparkSession, d: str) -> DataFrame:
     """Mean cosine between descriptors and their image under a rotation of the first two axes."""
     v = _vectors(spark, d)
@@ -179,7 +193,7 @@ def x5_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 @query("x1_draw_split")
 def x1_draw_split(spark: SparkSession, d: str) -> DataFrame:
     """The seeded draw over the listed sequences."""
-    ids = [r[0] for r in table(spark, d, "split_lists").where("sequence_id is not null").select(F.trim("sequence_id")).distinct().collect()]
+    ids = [r[0] for r in table(spark, d, "split_lists").where("sequence_id is not null").select(trimmed("sequence_id")).distinct().collect()]
     lists = dataset.draw_split(ids, 42, 0.6, 0.2)
     return spark.createDataFrame([(s, split) for split, names in lists.items() for s in names], "sequence_id string, split string")
 
@@ -250,7 +264,15 @@ def a29_spearman(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(len(rows), rho, p)], "n int, rho double, p double")
 
 
-@query("a30_hard_drop")
+@query(
+    "a30_hard_drop",
+    f"""with {hits_sql()}, {near_sql(25)}, hard as (select *, {_HARD} as ok from n), near as (select query_id from n group by 1),
+best as (select query_id, min(rank) as best from h where d_m <= 25 group by 1),
+c as (select (select count(*) from near) as n_solvable, (select count(*) from best where best = 1) as n_correct, (select count(distinct query_id) from hard where ok) as n_solvable_hard,
+  (select coalesce(avg((not {_HARD})::int), 0.0) from h where rank = 1 and d_m <= 25) as duplicate_share),
+x as (select *, n_correct::double / nullif(n_solvable, 0) as recall, n_correct * (1 - duplicate_share) / nullif(n_solvable_hard, 0) as expected_hard from c)
+select n_solvable, n_correct, n_solvable_hard, round(duplicate_share, 6) as duplicate_share, round(recall, 6) as recall, round(expected_hard, 6) as expected_hard, round(recall - expected_hard, 6) as drop from x""",
+)
 def a30_hard_drop(spark: SparkSession, d: str) -> DataFrame:
     """The hard-drop identity at 25 m on the database protocol."""
     s = Scene(spark, d)
@@ -259,16 +281,23 @@ def a30_hard_drop(spark: SparkSession, d: str) -> DataFrame:
     counts = flags.agg(F.count("nearest_m").alias("n_solvable"), F.count_if(F.col("rank_25") == 1).alias("n_correct"))
     hard = evaluation.solvable(near, evaluation.hard_hit()).agg(F.count("*").alias("n_solvable_hard"))
     first = s.hits.where("rank = 1 and d_m <= 25").agg(F.coalesce(F.avg((~evaluation.hard_hit()).cast("double")), F.lit(0.0)).alias("duplicate_share"))
-    return stats.hard_drop(counts.withColumns({"n_solvable_hard": hard.scalar(), "duplicate_share": first.scalar()}))
+    return rounded(stats.hard_drop(counts.withColumns({"n_solvable_hard": hard.scalar(), "duplicate_share": first.scalar()})))
 
 
-@query("a31_panorama")
+@query(
+    "a31_panorama",
+    _FLAGS_SQL
+    + """, o as (select coalesce(q.is_pano, false) as pano, coalesce(best = 1, false) as hit from f join q on q.image_id = f.query_id where nearest is not null),
+c as (select count(*) as n_all, count(*) filter (where hit) as hits_all, count(*) filter (where not pano) as n_nopano, count(*) filter (where hit and not pano) as hits_nopano from o),
+p as (select *, n_all - n_nopano as n_pano, (hits_all - hits_nopano)::double / nullif(n_all - n_nopano, 0) as p from c)
+select n_all, hits_all, n_nopano, hits_nopano, n_pano, round(p, 6) as recall_pano, round(sqrt(p * (1 - p) / nullif(n_pano, 0)), 6) as std_error from p""",
+)
 def a31_panorama(spark: SparkSession, d: str) -> DataFrame:
     s = Scene(spark, d, FULL)
     flags = evaluation.per_query(s.queries, s.near(25.0), s.hits, thresholds=(25.0,)).join(s.queries.select(F.col("image_id").alias("query_id"), F.coalesce("is_pano", F.lit(False)).alias("pano")), "query_id").where("nearest_m is not null")
     hit = F.coalesce(F.col("rank_25") == 1, F.lit(False))
     counts = flags.agg(F.count("*").alias("n_all"), F.count_if(hit).alias("hits_all"), F.count_if(~F.col("pano")).alias("n_nopano"), F.count_if(hit & ~F.col("pano")).alias("hits_nopano"))
-    return stats.panorama_recall(counts)
+    return rounded(stats.panorama_recall(counts))
 
 
 @query(

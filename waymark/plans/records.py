@@ -9,11 +9,11 @@ from waymark.functions.geo import local_xy, tile_x, tile_y
 from waymark.operators import embedding, evaluation, examples, rerank, roads, skew
 from waymark.plans.analyses import rounded
 from waymark.plans.registry import Catalogue
-from waymark.plans.retrieval import FULL, Scene
+from waymark.plans.retrieval import FULL, Scene, near_sql
 from waymark.sources import formats, views
 from waymark.sources.staging import folder, stage
 from waymark.sources.tables import table
-from waymark.sources.views import IMAGES_SQL, RANKINGS_SQL
+from waymark.sources.views import IMAGES_SQL, RANKINGS_SQL, hits_sql, metres_sql
 from waymark.streaming import arrivals
 
 catalogue = Catalogue()
@@ -134,27 +134,65 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "districts").where("rings is not null").select(F.col("district_id").alias("edge_id"), kind.alias("highway"), F.filter(F.col("rings")[0], lambda p: p.isNotNull()).alias("pts"))
 
 
-@query("j9_nearest_edge")
+_EDGES_SQL = """edges as (select district_id as edge_id, case district_id % 3 when 0 then 'primary' when 1 then 'residential' else 'service' end as highway, list_filter(rings[1], lambda p: p is not null) as pts from districts where rings is not null),
+pieces as (select edge_id, highway, e[1].lon as lon1, e[1].lat as lat1, e[2].lon as lon2, e[2].lat as lat2 from (select edge_id, highway, unnest(list_zip(pts[:-2], pts[2:])) as e from edges where len(pts) >= 2)),
+seg as (select row_number() over () as segment_id, *, """ + metres_sql("lat1", "lon1", "lat2", "lon2") + """ as length_m from pieces)"""
+
+
+def _nearest_edge_sql(points: str) -> str:
+    """CTE ``near``: the nearest edge within 100 m of each of ``points``."""
+    turned = lambda v: f"((({v} - p.lon + 180) % 360 + 360) % 360 - 180)"
+    x = lambda v: f"radians({turned(v)}) * cos(radians(p.lat)) * 6371000.0"
+    y = lambda v: f"radians({v} - p.lat) * 6371000.0"
+    return f"""{_EDGES_SQL}, p as ({points}),
+ec as (select p.image_id, edge_id, highway, {x("lon1")} as x1, {y("lat1")} as y1, {x("lon2")} as x2, {y("lat2")} as y2 from p join seg on p.lat between least(lat1, lat2) - 0.001 and greatest(lat1, lat2) + 0.001),
+ed as (select *, least(greatest(coalesce(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0), 0), 1) as t from ec),
+ee as (select image_id, edge_id, highway, round(sqrt(pow(x1 + t * (x2 - x1), 2) + pow(y1 + t * (y2 - y1), 2)), 6) as d_m from ed),
+be as (select image_id, min({{'d': d_m, 'e': edge_id, 'h': highway}}) as b from ee where d_m <= 100 group by 1),
+near as (select p.image_id, be.b.e as edge_id, be.b.h as highway, be.b.d as d_m from p left join be using (image_id))"""
+
+
+@query("j9_nearest_edge", f"with {IMAGES_SQL}, {_nearest_edge_sql('select image_id, lat, lon from m where placed')} select image_id, edge_id, highway, round(d_m, 3) as d_m from near")
 def j9_nearest_edge(spark: SparkSession, d: str) -> DataFrame:
     points = stage(views.images(spark, d, "lat", "lon").where("placed"), "points")
     return rounded(roads.nearest_edge(points, _edges(spark, d), 100.0, 100.0), 3)
 
 
-@query("a16_road_classes")
+@query(
+    "a16_road_classes",
+    f"""with {hits_sql("'database', 'train'")}, {_nearest_edge_sql("select image_id, lat, lon from q")},
+f as (select coalesce(near.highway, 'none') as highway, h.d_m as error_m from h join near on near.image_id = h.query_id where rank = 1)
+select highway, count(*) as n, round(count(*) / (select count(*) from f), 6) as share, round(avg((error_m <= 25)::int), 6) as recall, round(median(error_m) filter (where error_m > 25), 6) as median_wrong_m,
+  round(count(*) filter (where error_m > 1000) / nullif((select count(*) from f where error_m > 1000), 0), 6) as far_share from f group by 1""",
+)
 def a16_road_classes(spark: SparkSession, d: str) -> DataFrame:
     s = Scene(spark, d, FULL)
     near = roads.nearest_edge(s.queries.select("image_id", "lat", "lon"), _edges(spark, d), 100.0, 100.0)
     first = s.hits.where("rank = 1").select(F.col("query_id").alias("image_id"), F.col("d_m").alias("error_m"))
-    return roads.road_class_table(first.join(near, "image_id"))
+    return rounded(roads.road_class_table(first.join(near, "image_id")))
 
 
-@query("a26_street_coverage")
+@query(
+    "a26_street_coverage",
+    f"""with {IMAGES_SQL}, {_EDGES_SQL}, n as (select *, greatest(ceil(length_m / 25), 1)::bigint as n from seg), i as (select *, unnest(range(0, n + 1)) as i from n),
+s as (select segment_id, i, lat1 + (lat2 - lat1) * i / n as lat, lon1 + (lon2 - lon1) * i / n as lon from i),
+im as (select lat, lon from m where placed),
+seen as (select distinct segment_id, i from s join im on im.lat between s.lat - 0.00023 and s.lat + 0.00023 where {metres_sql("s.lat", "s.lon", "im.lat", "im.lon")} <= 25),
+k as (select segment_id, count(*) as hit from seen group by 1),
+c as (select highway, length_m, coalesce(hit, 0)::double / (n + 1) as covered from n left join k using (segment_id))
+select highway, round(sum(length_m), 2) as length_m, round(sum(length_m * covered) / sum(length_m), 9) as covered_share from c group by 1""",
+)
 def a26_street_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Samples no further apart than the radius, so every point of a street is near one."""
-    return roads.street_coverage(_edges(spark, d), views.images(spark, d, "lat", "lon"), 25.0, 25.0)
+    rows = roads.street_coverage(_edges(spark, d), views.images(spark, d, "lat", "lon"), 25.0, 25.0)
+    return rows.select("highway", F.round("length_m", 2).alias("length_m"), F.round("covered_share", 9).alias("covered_share"))
+
 
+_LOOKS_SQL = """looks as (select n.query_id, n.ref_id, n.d_m, radians(b.lon - q.lon) * cos(radians(q.lat)) * 6371000.0 as dx, radians(b.lat - q.lat) * 6371000.0 as dy, q.heading from n join q on q.image_id = n.query_id join b on b.image_id = n.ref_id),
+facing as (select query_id, ref_id, d_m from looks where sqrt(dx * dx + dy * dy) >= 15 and abs(((degrees(atan2(dx, dy)) - heading + 180) % 360 + 360) % 360 - 180) <= 25)"""
 
-@query("g8_facing")
+
+@query("g8_facing", f"with {hits_sql()}, {near_sql(100)}, {_LOOKS_SQL} select query_id, ref_id, round(d_m, 3) as d_m from facing")
 def g8_facing(spark: SparkSession, d: str) -> DataFrame:
     """Query-reference pairs within 100 m where the query camera looks at the reference."""
     s = Scene(spark, d)
@@ -203,11 +241,14 @@ def w7_largest_district(spark: SparkSession, d: str) -> DataFrame:
     return examples.district_choice(table(spark, d, "districts"), 1.0)
 
 
-@query("j10_scenes")
+@query(
+    "j10_scenes",
+    f"with {hits_sql()}, {near_sql(80)}, {_LOOKS_SQL}, o as (select query_id, min({{'d': d_m, 'r': ref_id}}) as b from facing group by 1) select query_id as image_id, b.r as target_id, round(b.d, 3) as d_m from o",
+)
 def j10_scenes(spark: SparkSession, d: str) -> DataFrame:
     """For each query the nearest database image its camera looks at within 80 m."""
     s = Scene(spark, d)
-    return examples.scenes(s.queries.select("image_id", "lat", "lon", "heading"), s.references.select("image_id", "lat", "lon"))
+    return rounded(examples.scenes(s.queries.select("image_id", "lat", "lon", "heading"), s.references.select("image_id", "lat", "lon")), 3)
 
 
 @query("l10_diverse_examples")
