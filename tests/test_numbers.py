@@ -18,10 +18,10 @@ def unit(n, dim, seed):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_exact_topk_equals_a_full_sort(spark, block):
+@pytest.mark.parametrize("block, cell", [(3, (2, 70)), (0, (100, 1000)), (4096, (1, 1))])
+def test_exact_topk_equals_a_full_sort(spark, block, cell):
     x, q = unit(300, 16, 0), unit(7, 16, 1)
-    got = search.exact_topk(vecs(spark, q, 1000), vecs(spark, x).repartition(5), 10, block).orderBy("query_id", "rank").collect()
+    got = search.exact_topk(vecs(spark, q, 1000), vecs(spark, x).repartition(5), 10, block, *cell).orderBy("query_id", "rank").collect()
     sims = np.round(q @ x.T, 9)
     for i in range(7):
         order = np.lexsort((np.arange(300), -sims[i]))[:10]
@@ -131,14 +131,17 @@ def test_splits(tmp_path, spark):
     assert {r.half for r in one.collect()} == {"database", "query"}
 
 
-def test_rejection_curve_is_exact_with_any_bins(spark):
+def test_rejection_curve_is_exact_with_small_cells(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(np.round(rng.random(), 1)), bool(rng.random() < 0.5)) for i in range(200)]
     df = spark.createDataFrame(rows, "query_id long, confidence double, correct boolean")
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
     want = {r[0]: (i + 1, sum(x[2] for x in order[: i + 1]) / (i + 1)) for i, r in enumerate(order)}
-    for bins in (1, 7, 64):
-        assert {r.query_id: (r.n_kept, r.precision) for r in analysis.rejection_curve(df, bins).collect()} == want
+    for rows_per_task in (3, 20, 1000):
+        assert {r.query_id: (r.n_kept, r.precision) for r in analysis.rejection_curve(df, rows_per_task).collect()} == want
+    odd = spark.createDataFrame([(1, None, True), (2, float("nan"), False), (3, 0.5, None), (4, 0.5, True)], "query_id long, confidence double, correct boolean")
+    assert [(r.query_id, r.precision) for r in analysis.rejection_curve(odd).orderBy("n_kept").collect()] == [(3, 0.0), (4, 0.5), (1, 2 / 3), (2, 0.5)]
+    assert analysis.rejection_curve(odd.where("false")).count() == 0
 
 
 def test_pairwise_auc(spark):

@@ -43,7 +43,7 @@ def test_rounds_of_cuts_have_no_largest_key(spark, monkeypatch):
     want = {(r.image_id, r.frame_no, r.gap_ms) for r in frames(df, share=1.0).collect()}
     assert {(r.image_id, r.frame_no, r.gap_ms) for r in frames(df, share=0.001, rows_per_task=15).collect()} == want
     hot = df.where("sequence_id is not null").withColumn("_key", F.coalesce("captured_at", F.lit(1 << 40)))
-    assert skew._cut(hot, 15).groupBy("sequence_id", "_path").count().agg(F.max("count")).first()[0] <= 30
+    assert skew.cut(hot, 15).groupBy("sequence_id", "_path").count().agg(F.max("count")).first()[0] <= 30
 
 
 def test_repeats_of_one_image_end(spark):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +11,8 @@ from pyspark.sql.window import Window
 from waymark.functions.geo import haversine, heading_difference, heading_matches
 from waymark.operators.evaluation import DAY_MS
 from waymark.operators.quantiles import exact_quantiles
+from waymark.operators.skew import cut
+from waymark.sources.staging import stage
 
 
 def difficulty(queries: DataFrame, near: DataFrame, max_degrees: float = 90.0) -> DataFrame:
@@ -49,10 +49,14 @@ def top1_origin(found: DataFrame, threshold_m: float = 25.0) -> DataFrame:
     days = F.abs(F.col("q_at") - F.col("r_at")) / DAY_MS
     same = F.col("q_creator") == F.col("r_creator")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    return found.where((F.col("rank") == 1) & (F.col("d_m") <= threshold_m)).agg(
-        F.count("*").alias("n"), share(same).alias("same_creator_share"), share(same & (days <= 180)).alias("duplicate_share"), F.percentile(days, F.lit(0.5)).alias("median_days"),
-        share(days < 1).alias("within_day_share"), share(days > 365).alias("over_year_share"), F.percentile(heading_difference("q_heading", "r_heading"), F.lit(0.5)).alias("median_turn"),
+    rows = stage(found.where((F.col("rank") == 1) & (F.col("d_m") <= threshold_m)).select(days.alias("days"), same.alias("same"), heading_difference("q_heading", "r_heading").alias("turn")), "origin")
+    days, same = F.col("days"), F.col("same")
+    out = rows.agg(
+        F.count("*").alias("n"), share(same).alias("same_creator_share"), share(same & (days <= 180)).alias("duplicate_share"),
+        share(days < 1).alias("within_day_share"), share(days > 365).alias("over_year_share"),
     )
+    medians = [F.lit(exact_quantiles(rows, c, [0.5])[0]).cast("double").alias(f"median_{c}") for c in ("days", "turn")]
+    return out.select("n", "same_creator_share", "duplicate_share", medians[0], "within_day_share", "over_year_share", medians[1])
 
 
 def confusion_pairs(first: DataFrame, top: int = 20) -> DataFrame:
@@ -109,30 +113,26 @@ def confidences(found: DataFrame, k: int = 10, radius_m: float = 50.0) -> DataFr
     )
 
 
-def rejection_curve(scored: DataFrame, bins: int = 4096) -> DataFrame:
+def rejection_curve(scored: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     """Running precision by descending confidence: ``query_id, n_kept, coverage, precision``.
 
-    ``scored`` has ``query_id, confidence, correct``. Exact without a single-task window:
-    confidences are cut into ``bins`` ranges at their quantiles, ranges are ordered inside,
-    and the counts of the ranges before are added. Ties are ordered by query id.
+    ``scored`` has ``query_id, confidence, correct``. Ties are ordered by query id, unknown
+    confidences (null, NaN) come last. All rows are one sequence, cut like a heavy one (see
+    ``skew``): by confidence, and by query id where many share one, so no task orders more
+    than about twice ``rows_per_task``; the counts of the cells before are added.
     """
-    cuts = np.unique(np.array(scored.agg(F.percentile_approx("confidence", [i / bins for i in range(1, bins)], 10 * bins)).first()[0] or [], dtype=float))
-
-    @F.pandas_udf("int")
-    def range_of(confidence: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, confidence.to_numpy(), side="right"))
-
-    rows = scored.withColumn("range", F.when(F.col("confidence").isNull(), F.lit(bins + 1)).otherwise(range_of(F.coalesce("confidence", F.lit(0.0)))))
-    sums = rows.groupBy("range").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
-    along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``bins`` rows
-    zero = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
-    before = sums.select("range", zero("n").alias("n0"), zero("c").alias("c0"))
-    total = scored.agg(F.count("*")).scalar()
-    inside = Window.partitionBy("range").orderBy(F.col("confidence").desc_nulls_last(), "query_id").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.col("n0") + F.count("*").over(inside)
-    good = F.col("c0") + F.sum(F.col("correct").cast("long")).over(inside)
-    rows = rows.join(F.broadcast(before), "range").select("query_id", kept.alias("n_kept"), good.alias("good"))
-    return rows.select("query_id", "n_kept", (F.col("n_kept") / total).alias("coverage"), (F.col("good") / F.col("n_kept")).alias("precision"))
+    known = F.nanvl("confidence", F.lit(float("-inf")))
+    rows = stage(scored.select(F.lit("all").alias("sequence_id"), F.col("query_id").alias("image_id"), F.coalesce(-known, F.lit(float("inf"))).alias("_key"), F.col("correct").cast("long").alias("good")), "scored")
+    total = rows.count()
+    cells = cut(rows, rows_per_task)
+    cell = ["sequence_id", "_path"]
+    along = Window.partitionBy("sequence_id").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    sums = cells.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("good").alias("c"))
+    before = sums.select(*cell, *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"{c}0") for c in ("n", "c")])
+    inside = Window.partitionBy(*cell).orderBy("_key", "image_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("kept", F.count("*").over(inside)).withColumn("right", F.coalesce(F.sum("good").over(inside), F.lit(0))).join(before, cell)
+    kept, right = F.col("n0") + F.col("kept"), F.col("c0") + F.col("right")
+    return ranked.select(F.col("image_id").alias("query_id"), kept.alias("n_kept"), (kept / F.lit(total)).alias("coverage"), (right / kept).alias("precision"))
 
 
 def precision_at_coverage(curve: DataFrame, coverages: Sequence[float] = (0.8, 0.5, 0.2)) -> DataFrame:

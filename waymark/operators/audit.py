@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.operators.evaluation import DAY_MS
+from waymark.operators.quantiles import exact_quantiles
+from waymark.sources.staging import stage
 
 
 def null_census(df: DataFrame) -> DataFrame:
@@ -63,10 +65,12 @@ def neighbourhood(near: DataFrame) -> DataFrame:
 
 
 def neighbourhood_summary(per_query: DataFrame) -> DataFrame:
-    return per_query.agg(
-        F.count("*").alias("n_queries"), F.percentile("n_near", F.lit(0.5)).alias("median_near"), F.avg(F.col("same_creator_same_day").cast("double")).alias("same_day_share"),
-        F.avg(F.col("other_creator").cast("double")).alias("other_creator_share"), F.percentile("min_days", F.lit(0.5)).alias("median_min_days"),
-    )
+    """Shares and medians over all queries; the medians are exact and no task holds all values."""
+    rows = stage(per_query, "neighbourhood")
+    near, days = (exact_quantiles(rows, c, [0.5])[0] for c in ("n_near", "min_days"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    out = rows.agg(F.count("*").alias("n_queries"), share("same_creator_same_day").alias("same_day_share"), share("other_creator").alias("other_creator_share"))
+    return out.select("n_queries", F.lit(near).cast("double").alias("median_near"), "same_day_share", "other_creator_share", F.lit(days).cast("double").alias("median_min_days"))
 
 
 def creator_concentration(images: DataFrame, top: int = 3) -> DataFrame:

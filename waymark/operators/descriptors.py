@@ -69,12 +69,13 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_pca(descriptors: DataFrame, n_components: int, whiten: bool = False, fit_images: int | None = None, seed: int = 42) -> Projection:
     """V4: principal components from sums of products added up in the cluster.
 
-    Only the (dim + 1)^2 sums reach the driver. ``fit_images`` takes that many rows by a
-    seeded hash of the id. The sign of a component makes its largest entry positive.
+    Only the (dim + 1)^2 sums reach the driver. ``fit_images`` takes about that many rows,
+    those whose seeded hash of the id lies below a share of its range. The sign of a component makes its largest entry positive.
     """
     rows = descriptors
     if fit_images is not None:
-        rows = rows.orderBy(F.xxhash64("image_id", F.lit(seed)), "image_id").limit(fit_images)
+        share = min(1.0, fit_images / max(rows.count(), 1))
+        rows = rows.where(F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(1 << 52)) < F.lit(int(share * (1 << 52))))
     sums = rows.select("vec").mapInArrow(_moments, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     if sums.empty:
         raise ValueError("no vectors to fit on")

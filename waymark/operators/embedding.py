@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
@@ -74,3 +75,19 @@ def embed_images(images: DataFrame, make: Callable[[], Embedder], batch: int = 6
             encoder.close()
 
     return images.select("image_id", "content").mapInArrow(run, "image_id long, vec array<float>, error string")
+
+
+def resume(images: DataFrame, make: Callable[[], Embedder], path: str, batch: int = 64) -> DataFrame:
+    """Encodes what ``path`` lacks, appends it there, and returns all that is there.
+
+    Images without a vector (an error) are tried again. Each run's rows become visible
+    together, so a run that fails leaves only what earlier runs finished; an image that two
+    runs encoded at once counts once.
+    """
+    spark = images.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    left = images
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        left = images.join(spark.read.parquet(path).where("vec is not null").select("image_id"), "image_id", "left_anti")
+    embed_images(left, make, batch).write.mode("append").parquet(path)
+    return spark.read.parquet(path).groupBy("image_id").agg(F.max_by("vec", F.col("vec").isNotNull()).alias("vec"), F.min("error").alias("error")).where("vec is not null or error is not null")

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def meet(items: DataFrame, points: DataFrame, kernel: Kernel, schema: str, piece
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        some, rest = table.filter(table.column("is_item")), table.filter(pa.compute.invert(table.column("is_item")))
+        some, rest = table.filter(table.column("is_item")), table.filter(pc.invert(table.column("is_item")))
         if some.num_rows and rest.num_rows:
             test = kernel(some)
             for at in range(0, rest.num_rows, POINT_CHUNK):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,7 +74,7 @@ def _scorer(shared, k: int):
 def _cell_scorer(k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        asks, refs = (table.filter(pa.compute.equal(table.column("asks"), flag)) for flag in (True, False))
+        asks, refs = (table.filter(pc.equal(table.column("asks"), flag)) for flag in (True, False))
         if asks.num_rows and refs.num_rows:
             names, x = refs.column("image_id").to_numpy(), _matrix(refs.column("vec").combine_chunks(), refs.num_rows)
             for at in range(0, asks.num_rows, QUERY_BLOCK):
@@ -118,7 +119,7 @@ def exact_topk(queries: DataFrame, references: DataFrame, k: int, block: int = Q
     def cells(df: DataFrame, asks: bool) -> DataFrame:
         own, others = (wide, high) if asks else (high, wide)
         at = F.pmod(F.xxhash64("image_id", F.lit(asks)), F.lit(own))
-        rows = df.select("image_id", "vec", F.lit(asks).alias("asks"), at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("long").alias("other"))
+        rows = df.select("image_id", "vec", F.lit(asks).alias("asks"), at.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("other"))
         cell = F.col("at") * high + F.col("other") if asks else F.col("other") * high + F.col("at")
         return rows.select(cell.alias("cell"), "asks", "image_id", "vec")
 

@@ -54,7 +54,7 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-def _cut(hot: DataFrame, rows_per_task: int) -> DataFrame:
+def cut(hot: DataFrame, rows_per_task: int) -> DataFrame:
     """``hot`` with ``_path``: cells of at most about twice ``rows_per_task`` rows, in order by ``_path``.
 
     Every round cuts what is still too large at quantiles of its times, or of its image ids
@@ -89,7 +89,7 @@ def frames(images: DataFrame, share: float | None = None, rows_per_task: int = 1
     and has no gap. Distances need two usable positions, speeds a positive gap. Images
     without a sequence have no frame order and are left out. A sequence is heavy from
     ``share`` of all rows, by default from ten times ``rows_per_task``; a task orders at most
-    about twice ``rows_per_task`` rows of a heavy one, whatever its size (see ``_cut``).
+    about twice ``rows_per_task`` rows of a heavy one, whatever its size (see ``cut``).
     """
     base = stage(
         images.where("sequence_id is not null").select("sequence_id", "image_id", F.when(F.col("captured_at") != 0, F.col("captured_at")).alias("_t"), "lat", "lon"),
@@ -108,7 +108,7 @@ def frames(images: DataFrame, share: float | None = None, rows_per_task: int = 1
         return calm
 
     hot = base.join(heavy, "sequence_id", "left_semi").withColumn("_key", F.coalesce("_t", F.lit((1 << 63) - 1)))
-    hot = _cut(hot, rows_per_task)
+    hot = cut(hot, rows_per_task)
     cell = ["sequence_id", "_path"]
     ends = hot.groupBy(*cell).agg(F.count("*").alias("_n"), F.max(F.struct("_key", "image_id", seat.alias("seat"))).alias("_last"))
     along = Window.partitionBy("sequence_id").orderBy("_path")  # one row a cell

@@ -185,7 +185,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a20_rejection_curve", _CURVE + "select query_id, n_kept, round(coverage, 6) as coverage, round(precision, 6) as precision from curve")
 def a20_rejection_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(analysis.rejection_curve(_scored(spark, d), 256))
+    return rounded(analysis.rejection_curve(_scored(spark, d)))
 
 
 @query(
@@ -196,7 +196,7 @@ select round(arg_min(precision, coverage) filter (where coverage >= 0.8), 6) as
   round(arg_min(precision, coverage) filter (where coverage >= 0.2), 6) as precision_20, round(sum((precision + p0) / 2 * (coverage - c0)), 6) as auc from g""",
 )
 def a21_precision_at_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(analysis.precision_at_coverage(analysis.rejection_curve(_scored(spark, d), 256)))
+    return rounded(analysis.precision_at_coverage(analysis.rejection_curve(_scored(spark, d))))
 
 
 @query(

@@ -181,11 +181,11 @@ def split_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "j15_district_counts",
+    "a1_district_names",
     f"""with {IMAGES_SQL}, d as (select district_id, district_name, area_km2 from districts),
 i as (select district_name, count(*) as n_districts, round(sum(area_km2), 3) as area_km2 from d group by 1) select * from i""",
 )
-def j15_district_counts(spark: SparkSession, d: str) -> DataFrame:
+def a1_district_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "districts").groupBy("district_name").agg(F.count("*").alias("n_districts"), F.round(F.sum("area_km2"), 3).alias("area_km2"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import analyses, at_scale, auditing, numerics, records, reranking, retrieval, searches
+from waymark.plans import analyses, at_scale, auditing, details, numerics, records, reranking, retrieval, searches
 
-MODULES = (retrieval, auditing, analyses, reranking, numerics, records, searches, at_scale)
+MODULES = (retrieval, auditing, analyses, reranking, numerics, records, searches, details, at_scale)
 
 
 def queries() -> dict:

@@ -146,21 +146,26 @@ def l7_random_baseline(spark: SparkSession, d: str) -> DataFrame:
     return localize.random_baseline(evaluation.hits(drawn, s.queries, s.references))
 
 
-def _utm_sql() -> str:
-    """Easting and northing by the same series, in nested queries."""
+def utm_sql(lat: str, lon: str, zone: str) -> tuple[str, str]:
+    """Easting and northing by the same series."""
     n = geo.WGS84_F / (2 - geo.WGS84_F)
     a = geo.UTM_K0 * geo.WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * n**0.5 / (1 + n)
-    x = " + ".join(["eta", *[f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
-    y = " + ".join(["xi", *[f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
-    return f"""with {IMAGES_SQL}, z as (select image_id, lat, lon, least(floor((lon + 180) / 6) + 1, 60)::int as zone from m where placed and abs(lat) < 84),
-t as (select *, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) as t, radians(lon - (zone * 6 - 183)) as dl from z),
-u as (select *, atan2(t, cos(dl)) as xi, atanh(sin(dl) / sqrt(1 + t * t)) as eta from t)
-select image_id, zone, round({geo.UTM_E0!r} + {a!r} * ({x}), 2) as easting, round({a!r} * ({y}), 2) as northing from u"""
+    t, dl = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))", f"radians({lon} - ({zone} * 6 - 183))"
+    xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + pow({t}, 2)))"
+    x = " + ".join([eta, *[f"{c!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, c in enumerate(alpha, 1)]])
+    y = " + ".join([xi, *[f"{c!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, c in enumerate(alpha, 1)]])
+    return f"({geo.UTM_E0!r} + {a!r} * ({x}))", f"({a!r} * ({y}))"
 
 
-@query("g6_utm", _utm_sql())
+def _utm_images_sql() -> str:
+    x, y = utm_sql("lat", "lon", "zone")
+    zones = "select image_id, lat, lon, least(floor((lon + 180) / 6) + 1, 60)::int as zone from m where placed and abs(lat) < 84"
+    return f"with {IMAGES_SQL}, z as ({zones}) select image_id, zone, round({x}, 2) as easting, round({y}, 2) as northing from z"
+
+
+@query("g6_utm", _utm_images_sql())
 def g6_utm(spark: SparkSession, d: str) -> DataFrame:
     """UTM coordinates of every placed image in its own zone."""
     rows = views.images(spark, d, "lat", "lon").where("placed and abs(lat) < 84")
