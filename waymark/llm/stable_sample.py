@@ -10,6 +10,8 @@ or reruns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,34 +24,38 @@ PARITY = 0x1BD11BDA
 COMPACT = 16
 
 
-def threefry2x32(k0: Column, k1: Column, c0: Column, c1: Column, rounds: int = 20) -> Column:
-    """Struct ``x0, x1`` of Threefry-2x32 for key and counter words in bigint columns."""
-    words = F.array(k0, k1, k0.bitwiseXOR(k1).bitwiseXOR(F.lit(PARITY)))
-    steps = []
+def threefry2x32(k0: np.ndarray, k1: np.ndarray, c0: int, c1: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Both words of Threefry-2x32 for many keys and one counter, all words of 32 bits."""
+    word = lambda v: np.asarray(v).astype(np.uint32)
+    words = [word(k0), word(k1)]
+    words.append(words[0] ^ words[1] ^ np.uint32(PARITY))
+    x0, x1 = words[0] + np.uint32(c0), words[1] + np.uint32(c1)
     for r in range(rounds):
-        injection = (r + 1) // 4 if r % 4 == 3 else -1
-        steps.append(F.struct(F.lit(ROTATIONS[r % 8]).alias("by"), F.lit(injection).alias("inject")))
+        by = np.uint32(ROTATIONS[r % 8])
+        x0 = x0 + x1
+        x1 = ((x1 << by) | (x1 >> np.uint32(32 - by))) ^ x0
+        if r % 4 == 3:
+            i = (r + 1) // 4
+            x0, x1 = x0 + words[i % 3], x1 + words[(i + 1) % 3] + np.uint32(i)
+    return x0, x1
 
-    def step(x: Column, s: Column) -> Column:
-        total = (x["x0"] + x["x1"]).bitwiseAND(F.lit(_MASK))
-        turned = F.call_function("shiftleft", x["x1"], s["by"]).bitwiseOR(F.call_function("shiftright", x["x1"], F.lit(32) - s["by"])).bitwiseAND(F.lit(_MASK)).bitwiseXOR(total)
-        i = s["inject"]
-        return F.when(i < 0, F.struct(total.alias("x0"), turned.alias("x1"))).otherwise(
-            F.struct(
-                (total + F.get(words, F.pmod(i, F.lit(3)))).bitwiseAND(F.lit(_MASK)).alias("x0"),
-                (turned + F.get(words, F.pmod(i + 1, F.lit(3))) + i).bitwiseAND(F.lit(_MASK)).alias("x1"),
-            )
-        )
 
-    start = F.struct((c0 + k0).bitwiseAND(F.lit(_MASK)).alias("x0"), (c1 + k1).bitwiseAND(F.lit(_MASK)).alias("x1"))
-    return F.aggregate(F.array(*steps), start, step)
+def keyed_uniform(key: Column, seed: int = 0, stream: int = 0) -> Column:
+    """Uniform number in [0, 1) with 53 bits, keyed by a bigint identifier; null for null.
+
+    Twenty rounds on whole Arrow batches: as an expression they would be folded row by row,
+    for a generator has no built-in.
+    """
 
+    @F.pandas_udf("double")
+    def draw(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        number = keys.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
+        x0, x1 = threefry2x32(number & np.uint64(_MASK), number >> np.uint64(32), seed & _MASK, stream & _MASK)
+        u = (x0.astype(np.float64) * 2097152.0 + (x1 >> np.uint32(11))) / 9007199254740992.0
+        return pd.Series(np.where(known, u, np.nan)).astype("Float64").where(known)
 
-def keyed_uniform(key: Column, seed: int = 0, stream: int = 0) -> Column:
-    """Uniform number in [0, 1) with 53 bits, keyed by a bigint identifier."""
-    low, high = key.bitwiseAND(F.lit(_MASK)), F.shiftrightunsigned(key, 32)
-    x = threefry2x32(low, high, F.lit(seed & _MASK).cast("long"), F.lit(stream & _MASK).cast("long"))
-    return F.transform(F.array(x), lambda w: (w["x0"] * 2097152.0 + F.shiftright(w["x1"], 11)) / 9007199254740992.0)[0]
+    return draw(key)
 
 
 def first_seen(rows: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:
