@@ -49,13 +49,12 @@ def keyed_uniform(key: Column, seed: int = 0, stream: int = 0) -> Column:
 
     @F.pandas_udf("double")
     def draw(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        number = keys.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
+        number = keys.to_numpy().view(np.uint64)
         x0, x1 = threefry2x32(number & np.uint64(_MASK), number >> np.uint64(32), seed & _MASK, stream & _MASK)
-        u = (x0.astype(np.float64) * 2097152.0 + (x1 >> np.uint32(11))) / 9007199254740992.0
-        return pd.Series(np.where(known, u, np.nan)).astype("Float64").where(known)
+        return pd.Series((x0.astype(np.float64) * 2097152.0 + (x1 >> np.uint32(11))) / 9007199254740992.0)
 
-    return draw(key)
+    # Without nulls in it a batch stays one of 64-bit integers.
+    return F.when(key.isNotNull(), draw(F.coalesce(key, F.lit(0).cast("long"))))
 
 
 def first_seen(rows: DataFrame, key: str, arrived: str = "ingested_at") -> DataFrame:
