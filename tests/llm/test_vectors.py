@@ -71,10 +71,24 @@ def test_all_blocks_lists_and_candidates_are_exact(spark):
     x = clustered(900, 8, 11)
     x[500:520] = x[0]
     ids = np.random.default_rng(4).permutation(5000)[:900]
-    out = nearest(frame(spark, ids, x), 5, dim=8, block_rows=100, copies=1e9, probes=10**9, keep=10**9, more=10**9, list_rows=16)
+    out = nearest(frame(spark, ids, x), 5, dim=8, block_rows=100, meeting=1.0, probes=10**9, keep=10**9, more=10**9, list_rows=16)
     assert {r.image_id: r.indices for r in out.collect()} == brute(ids, x, 5)
 
 
+def test_blocks_overlap_until_neighbours_meet():
+    x = _unit(clustered(4000, 16, 8)).astype(np.float32)
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:4]
+    met = []
+    for meeting in (0.5, 0.9, 0.99):
+        model = fit(x, 12, rank=3, meeting=meeting)
+        row, block = model.blocks(x)
+        in_block = np.zeros((len(x), 12), dtype=bool)
+        in_block[row, block] = True
+        met.append((in_block[:, None] & in_block[near]).any(axis=2).mean())
+        assert met[-1] >= meeting - 0.02
+    assert met[0] < met[1] < met[2] and fit(x, 12, meeting=0.99, most_copies=1.5).margin < model.margin
+
+
 def test_score_aware_codes_keep_inner_products():
     x = _unit(clustered(3000, 32, 5)).astype(np.float32)
     aware = fit(x, 4)

@@ -2,7 +2,8 @@
 
 Vectors go into overlapping blocks: each lies in the block of its best centroid and in
 every other block that is hardly further away, so that two neighbours meet in at least
-one block though each vector is sent to a few blocks only (``copies`` on average). Within
+one block though each vector is sent to a few blocks only. How much further is read off
+the neighbours within the sample: so far that a share ``MEETING`` of them meet. Within
 a block every vector is a query and part of the index at once: the block is cut into
 small lists, and a query scans the lists next to its own.
 
@@ -33,12 +34,15 @@ from pyspark.sql.window import Window
 
 from waymark.sources.staging import stage
 
-#: Vectors the codebooks are fitted on, chosen by a hash of the id. Block centroids take 32 for each block if that is more, 131,072 at most.
-SAMPLE_ROWS = 20_000
+#: Vectors the codebooks are fitted on, chosen by a hash of the id. Blocks take an eighth of all vectors or 32 for
+#: each block if that is more, but never more than ``MOST_SAMPLE``.
+SAMPLE_ROWS, MOST_SAMPLE = 20_000, 131_072
+#: Vectors of the sample whose neighbours say how far blocks must overlap.
+JUDGED = 2_000
 #: Vectors that a block is the best block of, and most blocks there are; beyond that blocks grow and are split.
 BLOCK_ROWS, MAX_BLOCKS = 16_000, 4096
-#: Blocks a vector is sent to on average.
-COPIES = 2.25
+#: Share of neighbours that are to meet in a block, and most blocks a vector is sent to on average.
+MEETING, MOST_COPIES = 0.98, 6.0
 #: Vectors of a list within a block, and lists a query scans.
 LIST_ROWS, PROBES = 64, 192
 #: Candidates of a block that are scored exactly, in multiples of k + 1: at first, and where a code that was left out might still belong.
@@ -131,13 +135,29 @@ def _axes(residual: np.ndarray, energy: float) -> np.ndarray:
     return axes[:, np.stack([half, full - 1 - half], 1).ravel()]
 
 
-def fit(sample: np.ndarray, n_blocks: int, copies: float = COPIES, list_rows: int = LIST_ROWS, rounds: int = 2, seed: int = 7, energy: float = 0.995, book_rows: int = SAMPLE_ROWS) -> Model:
+def _margin(x: np.ndarray, centroids: np.ndarray, rank: int, meeting: float, most_copies: float) -> float:
+    """How much further than its best centroid a block may be, so that ``meeting`` of the neighbours up to ``rank`` share a block."""
+    if meeting >= 1.0 or len(x) < 2 or len(centroids) < 2:
+        return 10.0
+    gap = np.arccos(np.clip(x @ centroids.T, -1.0, 1.0))
+    gap -= gap.min(axis=1, keepdims=True)
+    needed = []
+    for at in range(0, min(JUDGED, len(x)), 250):
+        mine = np.arange(at, min(at + 250, JUDGED, len(x)))
+        sims = x[mine] @ x.T
+        sims[np.arange(len(mine)), mine] = -np.inf
+        near = np.argpartition(-sims, min(rank, len(x) - 1) - 1, axis=1)[:, :rank]
+        needed.append(np.maximum(gap[mine][:, None], gap[near]).min(axis=2).ravel())
+    wanted = float(np.quantile(np.concatenate(needed), meeting))
+    return min(wanted, float(np.quantile(gap, min(1.0, most_copies / len(centroids))))) + 1e-9
+
+
+def fit(sample: np.ndarray, n_blocks: int, rank: int = 1, meeting: float = MEETING, most_copies: float = MOST_COPIES, list_rows: int = LIST_ROWS, rounds: int = 2, seed: int = 7, energy: float = 0.995, book_rows: int = SAMPLE_ROWS) -> Model:
     """Fit block centroids and anisotropic codebooks on unit vectors; the codebooks need no more than ``book_rows`` of them."""
     x = sample.astype(np.float32)
     dim = x.shape[1]
     centroids = _kmeans(x, n_blocks, 12, seed, spherical=True)
-    angle = np.sort(np.arccos(np.clip(x @ centroids.T, -1.0, 1.0)), axis=1)
-    margin = float(np.quantile(angle - angle[:, :1], min(1.0, copies / n_blocks))) if copies < n_blocks else 10.0
+    margin = _margin(x, centroids, rank, meeting, most_copies)
     x = x[:book_rows]
     lists = _kmeans(x, max(1, len(x) // list_rows), 4, seed, spherical=True)
     home = _nearest(x, lists, 0.0)[0]
@@ -365,14 +385,14 @@ def _searcher(shared, dim: int, k: int, probes: int, keep: int, more: int, list_
     return search
 
 
-def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS, copies: float = COPIES, probes: int = PROBES, keep: int | None = None, more: int | None = None, list_rows: int = LIST_ROWS, split_rows: int = SPLIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS, meeting: float = MEETING, most_copies: float = MOST_COPIES, probes: int = PROBES, keep: int | None = None, more: int | None = None, list_rows: int = LIST_ROWS, split_rows: int = SPLIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For every usable vector its ``k`` most similar others: ``<id_col>, indices, similarities``.
 
     Similarity is the cosine in double precision rounded to 9 decimals; ties go to the
     smaller id, and a vector is not its own neighbour. Lists are shorter than ``k`` only if
     there are fewer vectors; a lone vector has an empty list, an empty table no rows.
-    More ``copies``, ``probes`` and ``keep`` find more; with all blocks, lists and
-    candidates (each as great as the number of vectors) the result is exact.
+    More ``meeting``, ``most_copies``, ``probes``, ``keep`` and ``more`` find more; with 1
+    for the first and the number of vectors for the others the result is exact.
     """
     spark = vectors.sparkSession
     members = stage(usable_vectors(vectors, dim, id_col, vec_col).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
@@ -387,8 +407,9 @@ def nearest(vectors: DataFrame, k: int, dim: int = 64, id_col: str = "image_id",
     if not n:
         return spark.createDataFrame([], f"{id_col} long, indices array<long>, similarities array<double>")
     n_blocks = min(MAX_BLOCKS, max(1, round(n / block_rows)))
-    drawn = leaders.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max(sample_rows, 32 * n_blocks)).select("vec").toPandas()
-    shared = spark.sparkContext.broadcast(fit(_unit(np.stack(drawn["vec"].to_numpy())), n_blocks, copies, book_rows=sample_rows))
+    drawn = leaders.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max(sample_rows, min(MOST_SAMPLE, max(n // 8, 32 * n_blocks)))).select("vec").toPandas()
+    rank = max(1, round(k * len(drawn) / n))
+    shared = spark.sparkContext.broadcast(fit(_unit(np.stack(drawn["vec"].to_numpy())), n_blocks, rank, meeting, most_copies, list_rows, book_rows=sample_rows))
     sent = leaders.select("id", "vec")
     parts = np.ones(n_blocks, dtype=np.int64)
     for row in sent.mapInArrow(_sizes(shared), "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():  # at most MAX_BLOCKS rows
