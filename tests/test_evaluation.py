@@ -11,6 +11,7 @@ DEG = 1 / 111_320
 KIND = "image_id long, lat double, lon double, heading double, compass_angle double, creator_id long, captured_at long, is_pano boolean, sequence_id string, split string, placed boolean"
 
 
+#: The scene and lists below are the ones whose expected recalls are known.
 def images(spark, pano=()):
     rows = []
     for i in range(10):

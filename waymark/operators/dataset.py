@@ -28,6 +28,7 @@ def draw_split(sequence_ids: list[str], seed: int, train: float, database: float
     n = len(ids)
     if n < 3:
         raise ValueError(f"a split needs at least 3 sequences, there are {n}")
+    # The shuffle and its bounds are fixed: the same seed has to give the lists that were drawn before.
     random.Random(seed).shuffle(ids)
     first = max(1, min(max(1, round(n * train)), n - 2))
     second = max(1, round(n * database))

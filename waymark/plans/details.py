@@ -13,7 +13,7 @@ from waymark.plans.numerics import DIM
 from waymark.plans.records import _DETECTIONS_SQL, _detections
 from waymark.plans.registry import Catalogue
 from waymark.plans.reranking import _positions, utm_sql
-from waymark.plans.retrieval import FULL, Scene, near_sql
+from waymark.plans.retrieval import Scene
 from waymark.sources import formats, lists, views
 from waymark.sources.staging import folder, stage
 from waymark.sources.tables import table

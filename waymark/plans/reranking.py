@@ -21,8 +21,8 @@ queries, oracle_sql = catalogue.queries, catalogue.oracle_sql
 HF = hits_sql("'database', 'train'")
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
-    frames = skew.frames(views.images(spark, d, "sequence_id", "captured_at", "lat", "lon"))
+def _positions(spark: SparkSession, d: str, images: DataFrame | None = None) -> DataFrame:
+    frames = skew.frames(views.images(spark, d, "sequence_id", "captured_at", "lat", "lon") if images is None else images)
     return frames.select("image_id", "sequence_id", F.col("frame_no").alias("pos"))
 
 
@@ -46,7 +46,7 @@ def r2_hmm(spark: SparkSession, d: str) -> DataFrame:
     """The drives' speed is the median over the database frames."""
     s = Scene(spark, d, FULL)
     speed = rerank.drive_speed(evaluation.references_of(s.images))
-    return rerank.hmm_smoothing(s.hits, _positions(spark, d), speed=speed)
+    return rerank.hmm_smoothing(s.hits, _positions(spark, d, s.images), speed=speed)
 
 
 @query("r3_twin_rerank", f"with {HF} select query_id, ref_id, row_number() over (partition by query_id order by {_TWIN}, rank) as rank, {_TWIN} as is_twin from h")
@@ -65,6 +65,7 @@ def r4_inlier_rerank(spark: SparkSession, d: str) -> DataFrame:
     return rerank.verified_first(Scene(spark, d, FULL).hits, inliers, 5, 15).select("query_id", "ref_id", "rank")
 
 
+#: The weights of the detection score that are compared.
 _WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.5, 1.0)
 
 

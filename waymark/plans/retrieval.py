@@ -164,9 +164,6 @@ def j2_query_db_pairs(spark: SparkSession, d: str) -> DataFrame:
     return Scene(spark, d).near(50.0).select("query_id", "ref_id", F.round("d_m", 3).alias("d_m"))
 
 
-_METRIC = "sqrt(pow(radians(b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)) * 6371000.0, 2) + pow(radians(b.lat - a.lat) * 6371000.0, 2))"
-
-
 @query(
     "j3_train_pairs",
     f"""with {IMAGES_SQL}, t as (select * from m where split = 'train' and placed and sequence_id is not null)

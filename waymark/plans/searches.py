@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import descriptors, evaluation, search
+from waymark.plans.numerics import DIM, VECTORS_SQL, _dot
 from waymark.plans.registry import Catalogue
-from waymark.plans.retrieval import FULL, KS, THRESHOLDS, Scene, _FACING, _HARD, _TWIN, near_sql, recall_sql
+from waymark.plans.retrieval import _FACING, _HARD, _TWIN, KS, THRESHOLDS, Scene, recall_sql
 from waymark.sources import views
 from waymark.sources.staging import stage
 from waymark.sources.tables import table
 from waymark.sources.views import IMAGES_SQL, metres_sql
-from waymark.plans.numerics import DIM, VECTORS_SQL, _dot
 
 catalogue = Catalogue()
 query = catalogue.query
