@@ -206,9 +206,9 @@ def scan(tables: np.ndarray, lists: np.ndarray, pairs: np.ndarray, list_of: np.n
     first = np.rint((lists - base) / step).astype(np.uint16)
     sums, part = np.empty((many, n), dtype=np.uint16), np.empty((TILE_ROWS, many), dtype=np.uint16)
     for at in range(0, n, TILE_ROWS):  # a tile stays in the processor's cache
-        tile = np.take(first, list_of[at : at + TILE_ROWS], axis=0)
+        tile = first.take(list_of[at : at + TILE_ROWS], axis=0)
         for table, codes in zip(both, pairs[:, at : at + TILE_ROWS]):
-            tile += np.take(table, codes, axis=0, out=part[: len(tile)], mode="clip")
+            tile += table.take(codes, axis=0, out=part[: len(tile)], mode="clip")
         sums[:, at : at + TILE_ROWS] = tile.T
     return sums, step, low.sum(axis=(0, 1)) + base
 
@@ -247,8 +247,8 @@ def _settle(who: np.ndarray, sums: np.ndarray, least: np.ndarray, found: np.ndar
         calm = counts[query] <= more
         query = np.concatenate([query[calm], np.repeat(crowd, min(more, many))])
         row = np.concatenate([row[calm], best_rows(sums[who[crowd]], more).ravel()])
-    query, row = np.concatenate([query, np.repeat(np.arange(len(who)), width)]), np.concatenate([row, found[who].ravel()])
-    query, row = np.divmod(np.unique(query * many + row), many)
+    pair = np.sort(np.concatenate([query * many + row, (np.arange(len(who))[:, None] * many + found[who]).ravel()]))
+    query, row = np.divmod(pair[np.append(True, pair[1:] != pair[:-1])], many)
     score = exact(who[query], row)
     order = np.lexsort((row, -score, query))
     counts = np.bincount(query, minlength=len(who))
@@ -288,7 +288,7 @@ def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray,
                 rows = some if len(some := np.sort(np.concatenate([members[i] for i in lists]))) >= width else rows
             turned = (q @ model.axes).reshape(len(q), -1, WIDTH)
             tables = np.matmul(model.books, turned.transpose(1, 2, 0))
-            sums, step, zero = scan(tables, near, pairs[:, rows], list_of[rows])
+            sums, step, zero = scan(tables, near, pairs.take(rows, axis=1), list_of.take(rows))
 
             some = best_rows(sums, max(keep, width))
             exact = _exact(wanted[rows[some]], x[mine][:, None])
