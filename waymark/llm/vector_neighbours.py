@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -305,18 +306,28 @@ def search_block(model: Model, ids: np.ndarray, x: np.ndarray, base: np.ndarray,
         at += count
 
 
+def _cleaner(dim: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.fill_null(pc.and_(pc.is_valid(batch.column(0)), pc.equal(pc.list_value_length(batch.column(1)), dim)), False)
+            batch = batch.filter(known)
+            x = _raw(batch) + np.float32(0)  # -0 becomes 0
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)  # a null value reads as NaN
+            x = x[good]
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["id", "vec"])
+
+    return clean
+
+
 def usable_vectors(vectors: DataFrame, dim: int, id_col: str = "image_id", vec_col: str = "vec") -> DataFrame:
     """``id, vec``: one vector of ``dim`` finite values and a norm above 0 for each id.
 
     Null ids, null, short, long, zero, NaN and infinite vectors are left out; if an id has
     several vectors the greatest counts, so repeated rows count once.
     """
-    vec = F.col("vec")
-    finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    good = rows.where(F.col("id").isNotNull() & (F.size(vec) == dim)).where(finite & F.exists(vec, lambda v: v != 0))
-    clean = good.withColumn("vec", F.transform(vec, lambda v: F.when(v == 0, F.lit(0.0).cast("float")).otherwise(v)))
-    return clean.groupBy("id").agg(F.max("vec").alias("vec"))
+    return rows.mapInArrow(_cleaner(dim), "id long, vec array<float>").groupBy("id").agg(F.max("vec").alias("vec"))
 
 
 def _sizes(shared):
