@@ -31,6 +31,29 @@ def test_exact_topk_equals_a_full_sort(spark, block, cell):
     assert search.exact_topk(vecs(spark, q).where("false"), vecs(spark, x), 5).count() == 0
 
 
+def test_exact_topk_copies_no_reference_for_small_cells(spark):
+    sc = spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    x, q = unit(2000, 16, 3), unit(300, 16, 4)
+    x[1000:1020] = x[0]  # more ties than a list has room for
+    references, queries = staging.stage(vecs(spark, x), "references"), staging.stage(vecs(spark, q, 1990), "queries")
+    before = shuffled()
+    got = search.exact_topk(queries, references, 5, 0, 4, 50).collect()
+    # The queries once, then at most a list for each of the partitions; the cells are 75 x 40.
+    assert shuffled() - before < 20_000
+    sims = np.round(q @ x.T, 9)
+    for i in range(300):
+        if i < 10:
+            sims[i, 1990 + i] = -np.inf
+        order = np.lexsort((np.arange(2000), -sims[i]))[:5]
+        assert [r.ref_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1990 + i] == order.tolist()
+
+
 def test_locate_keeps_a_bad_photo_apart(spark):
     x = unit(50, 16, 2)
     images = spark.createDataFrame([(i, 52.0 + i / 1000, 8.0) for i in range(50)], "image_id long, lat double, lon double")

@@ -6,18 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions.geo import haversine
 
-#: Most queries that are broadcast, and queries scored at a time.
+#: Most queries that are broadcast, queries that travel together, and queries scored at a time.
 QUERY_BLOCK = 4096
-#: Queries and references of one cell of the grid.
-CELL_QUERIES, CELL_REFERENCES = 16_384, 32_768
-#: References scored at a time, which bounds the matrix of similarities.
+#: References that travel together and are scored at a time, which bounds the matrix of similarities.
 REFERENCE_BLOCK = 2048
 
 
@@ -37,21 +34,55 @@ def top_k(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(found, order, 1), np.take_along_axis(kept, order, 1)
 
 
-def _running_best(ids: np.ndarray, q: np.ndarray, k: int):
-    """Keeps the ``k`` best references of each query while they come by, a block at a time."""
-    best = [np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))]
+def _true(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero``, which looks at eight at a time where few are true."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (8 * np.flatnonzero(flat.view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return at[flat[at]]
 
-    def see(names: np.ndarray, x: np.ndarray) -> None:
-        for at in range(0, len(names), REFERENCE_BLOCK):
-            here = names[at : at + REFERENCE_BLOCK]
-            sims = np.round(q @ x[at : at + REFERENCE_BLOCK].T, 9)
-            sims[ids[:, None] == here[None]] = -np.inf
-            new = top_k(np.broadcast_to(here, sims.shape), sims, k)
-            best[:] = top_k(*(np.concatenate(pair, axis=1) for pair in zip(best, new)), k)
+
+def _running_best(ids: np.ndarray, q: np.ndarray, k: int, few: int = QUERY_BLOCK, many: int = REFERENCE_BLOCK):
+    """Keeps the ``k`` best references of each query while they come by, in cells of ``few`` queries and ``many`` references.
+
+    Single precision and a bound of its error say which references may reach a list; those are scored in double precision.
+    """
+    names, best = np.zeros((len(ids), k), dtype=np.int64), np.full((len(ids), k), -np.inf)
+    single, longest = q.astype(np.float32), np.sqrt(np.einsum("ij,ij->i", q, q).max())
+
+    def cell(own: slice, here: np.ndarray, x: np.ndarray, lean: np.ndarray, slack: float, same: np.ndarray) -> None:
+        sims = single[own] @ lean.T
+        if len(same):
+            row, column = np.nonzero(ids[own, None] == here[same])
+            sims[row, same[column]] = -np.inf
+        floor = best[own, -1]
+        if len(here) > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(sims, -k, axis=1)[:, -k])
+        rows, columns = np.divmod(_true(sims >= (floor - slack).astype(np.float32)[:, None]), len(here))
+        if not len(rows):
+            return
+        exact = np.round(np.einsum("ij,ij->i", q[own][rows], x[columns]), 9)
+        exact[np.isneginf(sims[rows, columns])] = -np.inf
+        some, first, n = np.unique(rows, return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(some)), n), np.arange(len(rows)) - np.repeat(first, n)
+        new_names, new = np.zeros((len(some), n.max()), dtype=np.int64), np.full((len(some), n.max()), -np.inf)
+        new_names[at], new[at] = here[columns], exact
+        some = some + own.start
+        names[some], best[some] = top_k(np.concatenate([names[some], new_names], axis=1), np.concatenate([best[some], new], axis=1), k)
+
+    def see(here: np.ndarray, x: np.ndarray) -> None:
+        for i in range(0, len(here), many):
+            some, y = here[i : i + many], x[i : i + many]
+            # Of the products' rounding errors, twice, and of the rounding to 9 decimals.
+            slack = (y.shape[1] + 8) * 2.0**-22 * longest * np.sqrt(np.einsum("ij,ij->i", y, y).max()) + 1e-9
+            lean, same = y.astype(np.float32), np.flatnonzero(np.isin(some, ids))
+            for j in range(0, len(ids), few):
+                cell(slice(j, j + few), some, y, lean, slack, same)
 
     def rows() -> pa.RecordBatch:
-        ok = np.isfinite(best[1])
-        return pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(ok)[0]]), pa.array(best[0][ok]), pa.array(best[1][ok])], names=["query_id", "ref_id", "sim"])
+        ok = np.isfinite(best)
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(ok)[0]]), pa.array(names[ok]), pa.array(best[ok])], names=["query_id", "ref_id", "sim"])
 
     return see, rows
 
@@ -71,17 +102,44 @@ def _scorer(shared, k: int):
     return score
 
 
-def _cell_scorer(k: int):
+def _packer(size: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a[:n].tobytes()], pa.binary()) for a in (ids, x)], names=["ids", "vecs"])
+
+        ids, x = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+        for batch in batches:
+            if batch.num_rows:
+                new, y = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), batch.num_rows)
+                ids, x = (np.concatenate([ids, new]), np.concatenate([x, y])) if len(ids) else (new, y)
+            while len(ids) >= size:
+                yield packed(size)
+                ids, x = ids[size:], x[size:]
+        if len(ids):
+            yield packed(size)
+
+    return pack
+
+
+def _packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Blocks of up to ``size`` vectors of one partition, each block a row of bytes."""
+    rows = df.select("image_id", "vec").mapInArrow(_packer(size), "ids binary, vecs binary")
+    return rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("ids", "vecs")])
+
+
+def _pair_scorer(k: int, few: int, many: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        asks, refs = (table.filter(pc.equal(table.column("asks"), flag)) for flag in (True, False))
-        if asks.num_rows and refs.num_rows:
-            names, x = refs.column("image_id").to_numpy(), _matrix(refs.column("vec").combine_chunks(), refs.num_rows)
-            for at in range(0, asks.num_rows, QUERY_BLOCK):
-                some = asks.slice(at, QUERY_BLOCK)
-                see, rows = _running_best(some.column("image_id").to_numpy(), _matrix(some.column("vec").combine_chunks(), some.num_rows), k)
-                see(names, x)
-                yield rows()
+        kept = {}
+        for batch in batches:
+            for asks, queries, names, x in zip(*batch.columns):
+                name = asks.as_py()
+                if name not in kept:
+                    ids = np.frombuffer(name, dtype=np.int64)
+                    kept[name] = _running_best(ids, np.array(np.frombuffer(queries.as_buffer())).reshape(len(ids), -1), k, few, many)
+                here = np.frombuffer(names.as_buffer(), dtype=np.int64)
+                kept[name][0](here, np.frombuffer(x.as_buffer()).reshape(len(here), -1))
+        for _, rows in kept.values():
+            yield rows()
 
     return score
 
@@ -95,35 +153,34 @@ def merged_lists(lists: DataFrame, k: int) -> DataFrame:
     return lists.select("query_id", "ref_id", "sim").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
 
 
-def exact_topk(queries: DataFrame, references: DataFrame, k: int, block: int = QUERY_BLOCK, cell_queries: int = CELL_QUERIES, cell_references: int = CELL_REFERENCES) -> DataFrame:
+def exact_topk(queries: DataFrame, references: DataFrame, k: int, block: int = QUERY_BLOCK, cell_queries: int = QUERY_BLOCK, cell_references: int = REFERENCE_BLOCK) -> DataFrame:
     """``query_id, rank, ref_id, sim``: the ``k`` most similar references of every query.
 
-    Both have ``image_id`` and a unit ``vec``. Up to ``block`` queries are broadcast, and
-    references stay where they are read. More queries form a grid with the references:
-    each cell has a bounded block of both, and the partial lists of a query's cells are
-    merged by a ranking window. One job either way, however many queries there are.
+    Both have ``image_id`` and a unit ``vec``. Up to ``block`` queries are broadcast. More
+    are sent once into groups, and each group meets every slice of the references in one
+    task of a Cartesian product, which reads both where they are: no vector is copied by
+    the number of groups, slices or cells. A task scores cells of ``cell_queries`` and
+    ``cell_references``, keeps one list a query, and lists of a query's slices are merged
+    by a ranking window; slices are so few that lists take a quarter of the references' room.
+    One job either way, however many queries there are.
     Similarities are rounded to 9 decimals, ties go to the smaller id, an image isn't its
     own neighbour, and lists are shorter than ``k`` where there are fewer references.
     """
     spark = queries.sparkSession
-    n = queries.count()
-    if not n:
+    n, dim = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if not n or k < 1:
         return spark.createDataFrame([], "query_id long, rank long, ref_id long, sim double")
     found = "query_id long, ref_id long, sim double"
     if n <= block:
         rows = queries.select("image_id", "vec").toPandas()
         shared = spark.sparkContext.broadcast((rows["image_id"].to_numpy(dtype=np.int64), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
         return merged_lists(references.select("image_id", "vec").mapInArrow(_scorer(shared, k), found), k)
-    wide, high = -(-n // cell_queries), -(-max(references.count(), 1) // cell_references)
-
-    def cells(df: DataFrame, asks: bool) -> DataFrame:
-        own, others = (wide, high) if asks else (high, wide)
-        at = F.pmod(F.xxhash64("image_id", F.lit(asks)), F.lit(own))
-        rows = df.select("image_id", "vec", F.lit(asks).alias("asks"), at.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("other"))
-        cell = F.col("at") * high + F.col("other") if asks else F.col("other") * high + F.col("at")
-        return rows.select(cell.alias("cell"), "asks", "image_id", "vec")
-
-    return merged_lists(cells(queries, True).unionByName(cells(references, False)).groupBy("cell").applyInArrow(_cell_scorer(k), found), k)
+    # An entry of a list takes three numbers, a reference one for each dimension.
+    slices = min(max(1, references.count() * dim // (4 * 3 * k * n)), 2**31 - 1)
+    groups = queries.repartition(-(-n // QUERY_BLOCK), "image_id")
+    pairs = _packed(references.coalesce(slices), REFERENCE_BLOCK, "ref").hint("shuffle_replicate_nl").crossJoin(_packed(groups, 2 * QUERY_BLOCK, "query"))
+    pairs = pairs.select("query_ids", "query_vecs", "ref_ids", "ref_vecs")
+    return merged_lists(pairs.mapInArrow(_pair_scorer(k, cell_queries, cell_references), found), k)
 
 
 def locate(queries: DataFrame, references: DataFrame, images: DataFrame, k: int = 10) -> DataFrame:
